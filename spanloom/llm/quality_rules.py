@@ -5,7 +5,8 @@ bin each) or another. A language's reference is the mean histogram of all its do
 long enough. A document is rejected if either divergence (base 2, 0 to 1) exceeds its threshold; the thresholds allow for
 length, since a sample of n words from the reference itself diverges by about bins / (5.5 * n). Below ``min_words`` words the
 divergence isn't looked at (guard). Languages with fewer than ``min_docs`` reference documents, rare ones beyond the
-``most_langs`` with the most documents, and a null language use the mean over all.
+``most_langs`` with the most documents, and a null language use the mean over all. Common words are held against that mean as
+well and the lesser divergence counts, so that a text in two languages, or with a quotation, isn't rejected for it.
 
 Null text: no words, so it fails the base rules. Repeated rows are judged alike.
 """
@@ -132,7 +133,7 @@ def judge(docs: DataFrame, class_limit: float = 0.06, word_limit: float = 0.05,
     j = f.join(named, f.lang == named.ref, "left").join(every, F.lit(True), "left")
     j = j.withColumn("ref_classes", F.coalesce("ref_classes", "all_classes")).withColumn("ref_words", F.coalesce("ref_words", "all_words"))
     long = (F.col("n_words") >= min_words) & F.col("ref_classes").isNotNull()
-    j = j.withColumn("class_divergence", F.when(long, divergence("classes", "ref_classes"))).withColumn("word_divergence", F.when(long, divergence("words", "ref_words")))
+    j = j.withColumn("class_divergence", F.when(long, divergence("classes", "ref_classes"))).withColumn("word_divergence", F.when(long, F.least(divergence("words", "ref_words"), divergence("words", "all_words"))))
     bins = F.array_size(F.filter("ref_words", lambda x: x >= 0.002))
     slack = 1.25 * bins / (5.5 * F.col("n_words"))
     far = (F.col("class_divergence") > class_limit) | (F.col("word_divergence") > F.lit(word_limit) + slack)
