@@ -26,17 +26,20 @@ _COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "
 @dataclass(frozen=True)
 class Spanset:
     """``spans``: matching spans. ``condition``: set if they are those of the base that meet it. ``groups``: names of
-    grouping columns. ``scalars``: an aggregate stands for the spans, with these columns per trace (and group)."""
+    grouping columns. ``scalars``: an aggregate stands for the spans, with these columns per trace (and group). ``ids``: the
+    traces, where they can be had for less than by way of the spans."""
 
     spans: DataFrame
     condition: Column | None = None
     groups: tuple[str, ...] = ()
     scalars: DataFrame | None = None
     columns: tuple = ()
+    ids: DataFrame | None = None
 
     def traces(self) -> DataFrame:
         """trace_id, each once."""
-        return (self.spans if self.scalars is None else self.scalars).select("trace_id").distinct()
+        source = self.scalars if self.scalars is not None else self.ids if self.ids is not None else self.spans
+        return source.select("trace_id").distinct()
 
 
 class Evaluator:
@@ -104,15 +107,18 @@ class Evaluator:
         if e.op == "||":
             return self._either(a, b)
         if e.op == "&&":
-            return Spanset(self._in_both(a, b))
+            marks = self._marks(a, b)
+            both = marks.groupBy("trace_id").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).where("a and b").select("trace_id")
+            return Spanset(self._either(a, b).spans.join(both, "trace_id", "left_semi"), ids=both)
         plain, negated, united = e.op.lstrip("!&"), e.op[0] == "!", e.op[0] == "&"
+        marks, walked = self._related(plain, a, b)
+        found = structural.RELATIONS[plain](marks, *([self.walk_limit] if walked else ()))
+        ids = found.select("trace_id") if walked else structural.traces(plain, marks)
         if united:  # the traces of a and those of a that also match: the traces of a
-            found = self._related(plain, a, b)
-            return Spanset(a.spans.unionByName(self._whole(found), allowMissingColumns=True).dropDuplicates(["trace_id", "span_id"]))
-        found = self._related(plain, a, b)
+            return Spanset(a.spans.unionByName(self._whole(found), allowMissingColumns=True).dropDuplicates(["trace_id", "span_id"]), ids=a.traces())
         if negated:
-            return Spanset(a.spans.join(found.select("trace_id").distinct(), "trace_id", "left_anti"))
-        return Spanset(self._whole(found))
+            return Spanset(a.spans.join(ids.distinct(), "trace_id", "left_anti"), ids=a.traces().join(ids.distinct(), "trace_id", "left_anti"))
+        return Spanset(self._whole(found), ids=ids)
 
     def _either(self, a: Spanset, b: Spanset) -> Spanset:
         if a.condition is not None and b.condition is not None:
@@ -120,12 +126,6 @@ class Evaluator:
             return Spanset(self.base.where(both), both)
         return Spanset(a.spans.unionByName(b.spans, allowMissingColumns=True).dropDuplicates(["trace_id", "span_id"]))
 
-    def _in_both(self, a: Spanset, b: Spanset) -> DataFrame:
-        """The spans of either set in traces that both have."""
-        marks = self._marks(a, b)
-        traces = marks.groupBy("trace_id").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).where("a and b").select("trace_id")
-        return self._either(a, b).spans.join(traces, "trace_id", "left_semi")
-
     def _marks(self, a: Spanset, b: Spanset) -> DataFrame:
         """Keys of the spans in either set, with the marks a and b."""
         if a.condition is not None and b.condition is not None:
@@ -134,10 +134,11 @@ class Evaluator:
         left = a.spans.select(*_KEYS, F.lit(True).alias("a"), F.lit(False).alias("b"))
         return left.union(b.spans.select(*_KEYS, F.lit(False), F.lit(True))).groupBy(*_KEYS).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
 
-    def _related(self, op: str, a: Spanset, b: Spanset) -> DataFrame:
+    def _related(self, op: str, a: Spanset, b: Spanset) -> tuple[DataFrame, bool]:
+        """The marks that the operator takes, and whether it walks."""
         marks = self._marks(a, b)
         if op not in (">>", "<<"):
-            return structural.RELATIONS[op](marks)
+            return marks, False
         # Walking needs all spans of the traces that have both sides, in the time range or not.
         traces = structural.candidates(marks).select("trace_id")
         if a.condition is not None and b.condition is not None and self.base is self.all:
@@ -145,7 +146,7 @@ class Evaluator:
             everything = self.base.select(*_KEYS, yes(a.condition).alias("a"), yes(b.condition).alias("b"))
         else:
             everything = self.all.select(*_KEYS).distinct().join(marks, _KEYS, "left").na.fill(False, ["a", "b"])
-        return structural.RELATIONS[op](everything.join(traces, "trace_id", "left_semi"), self.walk_limit)
+        return everything.join(traces, "trace_id", "left_semi"), True
 
     def _whole(self, keys: DataFrame) -> DataFrame:
         return self.base.join(keys.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_semi")

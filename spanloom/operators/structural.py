@@ -137,4 +137,13 @@ def _doubled_up(marks: DataFrame) -> DataFrame:
     return marks.where("b").join(seen.distinct(), ["trace_id", "span_id"], "left_semi").select("trace_id", "span_id", "parent_span_id")
 
 
+def traces(op: str, marks: DataFrame) -> DataFrame:
+    """trace_id (perhaps repeated) of the traces in which the relation holds, by one aggregation; for the relations of one step."""
+    if op != "~":
+        return (_keyed(marks, "span_id", "parent_span_id") if op == ">" else _keyed(marks, "parent_span_id", "span_id")).select("trace_id")
+    ends = [f(F.when(F.col(x), F.col("span_id"))).alias(n) for f, x, n in ((F.min, "a", "al"), (F.max, "a", "ah"), (F.min, "b", "bl"), (F.max, "b", "bh"))]
+    groups = marks.where("parent_span_id <> ''").groupBy("trace_id", "parent_span_id").agg(*ends)
+    return groups.where("al is not null and bl is not null and not (al = ah and bl = bh and al = bl)").select("trace_id")
+
+
 RELATIONS = {">": child, "<": parent, "~": sibling, ">>": descent, "<<": ascent}
