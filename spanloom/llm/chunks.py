@@ -117,12 +117,12 @@ def with_next(docs: DataFrame, fn, ddl: str, part_docs: int = 1000) -> DataFrame
     firsts = {r.part: r.o for r in keyed.select("part", order.alias("o")).groupBy("part").agg(F.min("o").alias("o")).collect()}  # at most MOST_PARTS rows
     present = sorted(firsts)
     before = {p: present[k - 1] for k, p in enumerate(present)}  # of the first, the last
-    to = F.create_map(*[F.lit(x) for p in present for x in (p, before[p])]) if present else F.lit(None)
+    to = F.create_map(*[F.lit(x) for p in present for x in (p, before[p])])[F.col("part")] if present else F.lit(last)
     is_first = F.lit(False)
     if present:
         ids = [firsts[p].doc_id for p in present if firsts[p].doc_id is not None]
         is_first = F.col("doc_id").isin(ids) | F.col("doc_id").isNull()
-    marks = keyed.where(is_first).select(F.when(F.lit(bool(present)), to[F.col("part")]).otherwise(F.lit(last)).cast("int").alias("part"), "doc_id", "h", "text", F.lit(1).alias("mark"))
+    marks = keyed.where(is_first).select(to.cast("int").alias("part"), "doc_id", "h", "text", F.lit(1).alias("mark"))
     rows = keyed.select("part", "doc_id", "h", "text", F.lit(0).alias("mark")).union(marks)
     n = max(1, min(parts.count, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "mark", F.col("doc_id").asc_nulls_first(), "h")

@@ -7,7 +7,7 @@ dictionaries are a table ``dictionary`` beside it, keyed by hash. To read one sh
 the id range (a pushed-down filter) and one frame is decompressed. Ids are little-endian unsigned 16-bit integers if the
 vocabulary allows, else 32-bit; the dictionary's row says which.
 
-The dictionary is trained on a bounded sample (``sample_docs`` documents with the smallest hashes of id and text, each cut
+The dictionary is trained on a bounded sample (``sample_docs`` documents picked by a hash of their id, each cut
 to ``sample_bytes``): it only affects the size. All documents are encoded and written whole. A null text is an empty one;
 each document ends with ``end_id``. Documents without an id come first. Rows that share an id stay in the order of their
 hash, each with its own frame. An empty table gives no blocks.
@@ -35,7 +35,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int =
     """At most ``size`` bytes; empty if there is too little to train on."""
     import zstandard
 
-    heads = docs.where("text <> ''").select(F.substring("text", 1, sample_bytes).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    n = docs.count()
+    h = F.xxhash64("doc_id", F.lit("sample"))
+    few = docs.where(F.pmod(h, F.lit(1 << 40)) <= int(min(1.0, 1.5 * sample_docs / max(n, 1)) * (1 << 40)))  # else each task would send its smallest
+    heads = few.where("text <> ''").select(F.substring("text", 1, sample_bytes).alias("text"), h.alias("h"))
     rows = heads.orderBy("h").limit(sample_docs).collect()
     samples = [_pack(x, end_id)[:sample_bytes] for x in encoder(path).encode([r[0] for r in rows])]
     samples = [s for s in samples if len(s) >= 8]

@@ -17,6 +17,7 @@ from spanloom.llm.common import Bounded
 _EDGE = re.compile(r"[!-~\w]")
 _SPACE = re.compile(r"\s")
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all ASCII punctuation but the apostrophe, which could begin a contraction
+_NEWLINE = "  "  # the key of a newline between two lines; no piece has two spaces
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,7 +33,7 @@ class PieceEncoder:
     space that may join with its neighbours'. When the cache is full, what was not used since the last time goes.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cached: int = 200_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cached: int = 400_000):
         self.encode_many, self.cached = encode_many, cached
         self.newline = self._bytes(["\n"])[0]
         self.young: dict[str, bytes | bool] = {}
@@ -64,40 +65,49 @@ class PieceEncoder:
         return [b"".join(got) for got in found]
 
     def _learn(self, new) -> None:
-        young, old = self.young, self.old
-        cuts, atoms = {}, {}
+        young, held, was = self.young, self.young.get, self.old.get
+        atoms, cuts = [], []
         for p in new:
-            if (v := old.get(p)) is not None:
+            if (v := was(p)) is not None:
                 young[p] = v
-            elif p.isalpha() or p[:1] == " " and p[1:].isalpha():
-                atoms[p] = None
-            elif (cut := self._cut(p)) is None:
-                young[p] = False
-            elif len(cut) == 1:
-                atoms[p] = None
+            elif p.isalpha():
+                atoms.append(p)
             else:
-                cuts[p] = cut
-        for cut in cuts.values():
+                core = p.rstrip(_TAIL)
+                if core != p and core.isalpha():
+                    cuts.append((p, (core, " " + p[len(core) :])))
+                elif p[:1] == " " and p[1:].isalpha():
+                    atoms.append(p)
+                elif (cut := self._cut(p)) is None:
+                    young[p] = False
+                elif len(cut) == 1:
+                    atoms.append(p)
+                else:
+                    cuts.append((p, cut))
+        wanted = set(atoms)
+        for _, cut in cuts:
             for p in cut:
-                if p and p not in young:
-                    if (v := old.get(p)) is not None:
+                if p != _NEWLINE and held(p) is None and p not in wanted:
+                    if (v := was(p)) is not None:
                         young[p] = v
                     else:
-                        atoms[p] = None
-        young.update(zip(atoms, self._bytes([p[1:] if p[:1] == " " else f" {p}" for p in atoms]), strict=True))
-        for p, cut in cuts.items():
-            young[p] = b"".join(young[x] if x else self.newline for x in cut)
+                        wanted.add(p)
+                        atoms.append(p)
+        young.update(zip(atoms, self._bytes([p[1:] if p[0] == " " else " " + p for p in atoms]), strict=True))
+        young[_NEWLINE] = self.newline
+        for p, cut in cuts:
+            young[p] = b"".join(map(young.__getitem__, cut))
 
     @staticmethod
     def _cut(piece: str) -> list[str] | None:
-        """Keys of parts that are encoded on their own, the empty one for a newline; None if white space may join with the neighbours'."""
+        """Keys of parts that are encoded on their own; None if white space may join with the neighbours'."""
         out = []
         first, lead = (1, " ") if piece[:1] == " " else (0, "")
         if not piece[first:]:
             return None
         for line in piece[first:].split("\n"):
             if out:
-                out.append("")
+                out.append(_NEWLINE)
                 lead = " "
             if not (line and _EDGE.match(line[0]) and _EDGE.match(line[-1])) or _SPACE.search(line):
                 return None
