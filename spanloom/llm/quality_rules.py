@@ -103,7 +103,7 @@ def _share(counts: str, n: int) -> list[Column]:
     return [F.col(counts)[i] / total for i in range(n)]
 
 
-def divergence(counts: str, reference: str) -> Column:
+def divergence(counts: str, reference: str | Column) -> Column:
     """Jensen-Shannon divergence, base 2, of counts from reference shares."""
     total = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
 
@@ -126,14 +126,15 @@ def references(f: DataFrame, min_words: int, min_docs: int, most_langs: int) ->
 def judge(docs: DataFrame, class_limit: float = 0.06, word_limit: float = 0.05, min_words: int = 50, min_docs: int = 30, most_langs: int = 200) -> DataFrame:
     """doc_id, row, the base counts, base_failed, class_divergence, word_divergence (null where guarded), kept."""
     f = table(features(docs), "quality")
-    refs = table(references(f, min_words, min_docs, most_langs).coalesce(1), "references")
-    known = refs.select(F.col("lang").alias("ref"), "ref_classes", "ref_words")
-    named = F.broadcast(known.where("ref is not null"))  # at most most_langs rows
-    every = F.broadcast(known.where("ref is null").select(F.col("ref_classes").alias("all_classes"), F.col("ref_words").alias("all_words")))  # one row
-    j = f.join(named, f.lang == named.ref, "left").join(every, F.lit(True), "left")
-    j = j.withColumn("ref_classes", F.coalesce("ref_classes", "all_classes")).withColumn("ref_words", F.coalesce("ref_words", "all_words"))
+    found = references(f, min_words, min_docs, most_langs).collect()  # at most most_langs + 1 rows
+    spark = docs.sparkSession
+    every = next((r for r in found if r.lang is None), None)
+    of_all = {c: F.array(*map(F.lit, every[f"ref_{c}"])) if every else F.lit(None).cast("array<double>") for c in ("classes", "words")}
+    named = spark.createDataFrame([r for r in found if r.lang is not None], "ref string, ref_classes array<double>, ref_words array<double>")
+    j = f.join(F.broadcast(named), f.lang == named.ref, "left")
+    j = j.withColumn("ref_classes", F.coalesce("ref_classes", of_all["classes"])).withColumn("ref_words", F.coalesce("ref_words", of_all["words"]))
     long = (F.col("n_words") >= min_words) & F.col("ref_classes").isNotNull()
-    j = j.withColumn("class_divergence", F.when(long, divergence("classes", "ref_classes"))).withColumn("word_divergence", F.when(long, F.least(divergence("words", "ref_words"), divergence("words", "all_words"))))
+    j = j.withColumn("class_divergence", F.when(long, divergence("classes", "ref_classes"))).withColumn("word_divergence", F.when(long, F.least(divergence("words", "ref_words"), divergence("words", of_all["words"]))))
     bins = F.array_size(F.filter("ref_words", lambda x: x >= 0.002))
     slack = 1.25 * bins / (5.5 * F.col("n_words"))
     far = (F.col("class_divergence") > class_limit) | (F.col("word_divergence") > F.lit(word_limit) + slack)
