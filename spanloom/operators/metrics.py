@@ -131,17 +131,18 @@ def series(rows: DataFrame) -> DataFrame:
     return out.select(labels.alias("labels"), prom.alias("prom_labels"), "samples").where(F.array_size("samples") > 0)
 
 
-def summary(spans: DataFrame, query: Query | None, by: list, start_ns: int | None = None, end_ns: int | None = None, limit: int | None = 10, fields: Fields | None = None) -> DataFrame:
+def summary(spans: DataFrame, query: Query | None, by: list, start_ns: int | None = None, end_ns: int | None = None, limit: int | None = 10, fields: Fields | None = None, approximate: bool = False) -> DataFrame:
     """span_count, error_span_count, p99, p95, p90, p50 (ms) and label_* of the spans that pass the filters.
 
-    With a limit, the groups with the most spans come first.
+    With a limit, the groups with the most spans come first. ``approximate`` takes percentiles from a bounded sketch.
     """
     fields = fields or Fields()
     pipeline = query.pipeline if query else None
     wanted = needs(*(pipeline.stages if pipeline else ()), *by)
     rows = enrich(in_range(spans, start_ns, end_ns), spans, wanted).where(filter_condition(pipeline, fields))
     names = [label_column(label_name(x)) for x in by]
-    q = F.percentile(F.col("duration_ns").cast("double"), F.array(*[F.lit(x) for x in (0.99, 0.95, 0.9, 0.5)]))
+    shares, x = (0.99, 0.95, 0.9, 0.5), F.col("duration_ns").cast("double")
+    q = F.percentile_approx(x, list(shares), 10_000) if approximate else F.percentile(x, F.array(*map(F.lit, shares)))
     grouped = rows.select(*[fields.text(x).alias(n) for x, n in zip(by, names, strict=True)], "duration_ns", "status").groupBy(*names)
     out = grouped.agg(F.count("*").alias("span_count"), F.count_if(F.col("status") == "STATUS_CODE_ERROR").alias("error_span_count"), q.alias("q"))
     out = out.select("span_count", "error_span_count", *[(F.col("q")[i] / 1e6).alias(p) for i, p in enumerate(("p99", "p95", "p90", "p50"))], *names)

@@ -58,9 +58,9 @@ class Engine:
     def instant(self, text: str, start_ns: int | None = None, end_ns: int | None = None, per_second: bool = False, approximate: bool = False) -> DataFrame:
         return metrics.instant_metric(self.spans, parse(text), start_ns, end_ns, self.fields, per_second, approximate)
 
-    def summary(self, text: str = "", by: tuple[str, ...] = (), start_ns: int | None = None, end_ns: int | None = None, limit: int | None = 10) -> DataFrame:
+    def summary(self, text: str = "", by: tuple[str, ...] = (), start_ns: int | None = None, end_ns: int | None = None, limit: int | None = 10, approximate: bool = False) -> DataFrame:
         keys = [x for x in (parse_reference(b) for b in by if b.strip())]
-        return metrics.summary(self.spans, parse(text) if text.strip() else None, keys, start_ns, end_ns, limit, self.fields)
+        return metrics.summary(self.spans, parse(text) if text.strip() else None, keys, start_ns, end_ns, limit, self.fields, approximate)
 
     def facts(self) -> DataFrame:
         return trace_facts(self.spans)

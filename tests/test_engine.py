@@ -63,6 +63,8 @@ def test_metrics(engine):
     s = engine.summary().first()
     assert (s.span_count, s.error_span_count) == (26, 4)
     assert [round(x, 3) for x in (s.p50, s.p90, s.p95, s.p99)] == [450, 4350, 4650, 4775]
+    rough = engine.summary(approximate=True).first()
+    assert 350 <= rough.p50 <= 500 and rough.p99 == 4800
     top = engine.range("{ } | count_over_time() by (resource.service.name) | topk(1)", None, None, 86400 * 10**9).collect()
     assert [r.label_resource_service_name for r in top] == ["frontend"]
     series = metrics.series(engine.range("{ } | rate() by (kind)", None, None, 3600 * 10**9)).collect()
