@@ -127,7 +127,6 @@ class Reader:
 
     def map_documents(self, fn, ddl: str) -> DataFrame:
         """``fn(ids as little-endian u32 array)`` gives the values of ``ddl``; returned with part, block, nth, doc_id, rel_start, n_tokens."""
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
         full = f"part int, block int, nth int, doc_id long, rel_start long, n_tokens long, {ddl}"
         schema, opener = arrow_schema(full), self._opener()
 
