@@ -66,7 +66,7 @@ def write_ids(docs: DataFrame, out: str, path: str, end_id: int, block_bytes: in
     frame = arrow_schema("doc_id long, h long, n long, frame binary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        z = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
         for b in batches:
             ids = encoder(path).encode(b.column(2).to_pylist())
             yield record_batch(frame, b.column(0), b.column(1), [len(x) // 4 + 1 for x in ids], [z.compress(_pack(x, end_id, wide)) for x in ids])

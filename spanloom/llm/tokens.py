@@ -44,25 +44,35 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         get = self.young.get
         found, gaps, new = [], [], {}
-        for k, t in enumerate(texts):
+        for t in texts:
             words = t.split(" ") if t else []
             if words:
                 words[0] = " " + words[0]
             got = list(map(get, words))
             i = -1
-            for _ in range(got.count(None)):
-                i = got.index(None, i + 1)
-                gaps.append((k, i, words[i]))
+            while True:
+                try:
+                    i = got.index(None, i + 1)
+                except ValueError:
+                    break
+                gaps.append((got, i, words[i]))
                 new[words[i]] = None
             found.append(got)
         if new:
             self._learn(new)
-            for k, i, p in gaps:
-                found[k][i] = self.young[p]
-        whole = [k for k, got in enumerate(found) if False in got]
+            young = self.young
+            for got, i, p in gaps:
+                got[i] = young[p]
+        out: list[bytes | None] = []
+        for got in found:
+            try:
+                out.append(b"".join(got))
+            except TypeError:  # a False
+                out.append(None)
+        whole = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(whole, self._bytes([texts[k] for k in whole]), strict=True):
-            found[k] = [ids]
-        return [b"".join(got) for got in found]
+            out[k] = ids
+        return out
 
     def _learn(self, new) -> None:
         young, held, was = self.young, self.young.get, self.old.get
