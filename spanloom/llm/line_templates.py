@@ -16,7 +16,7 @@ id keep their lines. Rows that share an id count as one document and are cut eac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import release, row_key, spread_join, table
@@ -24,36 +24,48 @@ from spanloom.llm.common import release, row_key, spread_join, table
 _SPACE = "[ \\t\\x0B\\f\\r]+"
 
 
-def lines_of(docs: DataFrame, min_tokens: int) -> DataFrame:
+def _spaces(c: str) -> Column:
+    """How many spaces a string holds, from its length in bytes."""
+    return F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit(" "), F.lit("")))
+
+
+def lines_of(docs: DataFrame, min_tokens: int, with_context: bool = True) -> DataFrame:
     """doc_id, row, nth (0 first), line, context: each line with ``min_tokens`` tokens or more."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.split(F.col("text").cast("string"), "\n").alias("l")).where("doc_id is not null and l is not null")
-    before = F.concat(F.array(F.lit("")), F.slice("l", 1, F.array_size("l") - 1))
-    after = F.concat(F.slice("l", 2, F.array_size("l") - 1), F.array(F.lit("")))
-    rows = keyed.select("doc_id", "row", F.posexplode(F.arrays_zip(F.col("l"), before.alias("b"), after.alias("a"))).alias("nth", "x"))
-    context = F.xxhash64(F.substring_index(F.col("x.b"), " ", -3), F.substring_index(F.col("x.a"), " ", 3))
-    out = rows.select("doc_id", "row", "nth", F.trim(F.regexp_replace(F.col("x.l"), _SPACE, " ")).alias("line"), context.alias("context"))
-    return out.where(F.length("line") - F.length(F.translate("line", " ", "")) >= min_tokens - 1)
+    if with_context:
+        none = F.array(F.xxhash64(F.lit("")))
+        tails = F.concat(none, F.transform("l", lambda x: F.xxhash64(F.substring_index(x, " ", -3))))  # of the line before
+        heads = F.concat(F.slice(F.transform("l", lambda x: F.xxhash64(F.substring_index(x, " ", 3))), 2, F.greatest(F.array_size("l"), F.lit(1))), none)
+        rows = keyed.select("doc_id", "row", F.posexplode(F.arrays_zip(F.col("l"), F.slice(tails, 1, F.array_size("l")).alias("b"), heads.alias("a"))).alias("nth", "x"))
+        rows = rows.select("doc_id", "row", "nth", F.col("x.l").alias("raw"), F.xxhash64("x.b", "x.a").alias("context"))
+    else:
+        rows = keyed.select("doc_id", "row", F.posexplode("l").alias("nth", "raw")).withColumn("context", F.lit(None).cast("long"))
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains("raw", F.lit(c))
+    out = rows.select("doc_id", "row", "nth", F.trim(F.when(odd, F.regexp_replace("raw", _SPACE, " ")).otherwise(F.col("raw"))).alias("line"), "context")
+    return out.where(_spaces("line") >= min_tokens - 1)
 
 
 def parsed(lines: DataFrame, depth: int) -> DataFrame:
     """Adds masked (the line with its digits' tokens masked), leaf and line_key (hashes)."""
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
     out = lines.withColumn("masked", masked)
-    count = F.length("masked") - F.length(F.translate("masked", " ", ""))
-    return out.withColumn("leaf", F.xxhash64(count, F.substring_index("masked", " ", depth))).withColumn("line_key", F.xxhash64("masked", F.lit(1)))
+    return out.withColumn("leaf", F.xxhash64(_spaces("masked"), F.substring_index("masked", " ", depth))).withColumn("line_key", F.xxhash64("masked", F.lit(1)))
 
 
-def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_constant: float = 0.6, min_tokens: int = 3) -> DataFrame:
-    """leaf, line_key of the masked lines whose templates recur."""
+def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_constant: float = 0.6, min_tokens: int = 3) -> tuple[DataFrame, DataFrame]:
+    """All lines as doc_id, row, nth, leaf, line_key, context; and leaf, line_key of the masked lines whose templates recur."""
     lines = parsed(lines_of(docs, min_tokens), depth)
-    narrow = table(lines.select("doc_id", "row", "leaf", "line_key", "context"), "lines")
+    narrow = table(lines.select("doc_id", "row", "nth", "leaf", "line_key", "context"), "lines")
     leaves = narrow.groupBy("leaf").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("line_key").alias("k0"), F.max("line_key").alias("k1")).where("d0 < d1")
     leaves = table(leaves.select("leaf", (F.col("k0") < F.col("k1")).alias("varied")), "leaves")
     seen = table(spread_join(narrow, leaves, ["leaf"]).groupBy("leaf", "varied", "line_key", "doc_id", "context").agg(F.count("*").alias("c")), "seen")
     pairs = seen.groupBy("leaf", "varied", "line_key", "doc_id").agg(F.count("*").alias("c")).groupBy("leaf", "varied", "line_key").agg(F.count("*").alias("pairs"))
     # Leaves that can reach min_docs at all and hold more than one line: their tokens are looked at.
     wide = pairs.where("varied").groupBy("leaf").agg(F.sum("pairs").alias("p")).where(F.col("p") >= min_docs).select("leaf")
-    texts = spread_join(lines.select("leaf", "line_key", "masked"), table(wide, "varied-leaves"), ["leaf"]).groupBy("leaf", "line_key").agg(F.min("masked").alias("masked"))
+    again = parsed(lines_of(docs, min_tokens, with_context=False), depth)
+    texts = spread_join(again.select("leaf", "line_key", "masked"), table(wide, "varied-leaves"), ["leaf"]).groupBy("leaf", "line_key").agg(F.min("masked").alias("masked"))
     texts = table(spread_join(texts, pairs.select("leaf", "line_key", "pairs"), ["leaf", "line_key"]), "variants")
     tokens = texts.select("leaf", "line_key", "pairs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("pairs").alias("support"))
@@ -71,15 +83,14 @@ def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_cons
     contexts = named.groupBy("leaf", "template", "context").agg(F.count("*").alias("c")).groupBy("leaf", "template").agg(F.count("*").alias("contexts"))
     found = docs_of.join(contexts, ["leaf", "template"]).where(f"contexts >= {min_docs} and 2 * contexts >= docs").select("leaf", "template")
     keys = spread_join(named.select("leaf", "template", "line_key"), found, ["leaf", "template"]).select("leaf", "line_key").distinct()
-    return table(keys, "recurring")
+    return narrow, table(keys, "recurring")
 
 
 def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_constant: float = 0.6, min_tokens: int = 3) -> DataFrame:
     """_id, _row, _gone (positions of dropped lines), for each document that loses any."""
-    keys = recurring_lines(docs, depth, min_docs, min_constant, min_tokens)
+    lines, keys = recurring_lines(docs, depth, min_docs, min_constant, min_tokens)
     release(docs.sparkSession)
-    lines = parsed(lines_of(docs, min_tokens), depth).select("doc_id", "row", "nth", "leaf", "line_key")
-    hit = spread_join(lines, keys, ["leaf", "line_key"])
+    hit = spread_join(lines.select("doc_id", "row", "nth", "leaf", "line_key"), keys, ["leaf", "line_key"])
     return hit.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("nth").alias("_gone"))
 
 
@@ -90,7 +101,7 @@ def cut_lines(docs: DataFrame, **options) -> DataFrame:
     j = keyed.join(gone, ["_id", "_row"], "left")
     text = F.col("text").cast("string")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return j.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns], lines.cast("long").alias("_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("_dropped"))
 
 
