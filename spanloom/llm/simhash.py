@@ -15,6 +15,7 @@ looked at, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -187,14 +188,42 @@ def likeness(a: bytes, b: bytes) -> float:
     return same
 
 
-def text_features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, content (hash of the words), f1, f2 (SimHash over the set of words, two seeds), sketch; blank texts are left out."""
-    ddl = "doc_id long, content long, f1 long, f2 long, sketch binary"
-    schema = arrow_schema(ddl)
+def shingle_set(words: list[bytes], width: int, known) -> tuple[int, np.ndarray]:
+    """A hash of all words, and the distinct hashes of the shingles; a text of fewer than ``width`` words is one shingle."""
+    r, n = Rolling(hash_words(words, known)), len(words)
+    whole = r.ranges(np.array([0]), np.array([n]))
+    return int(whole.view(np.int64)[0]), np.unique(r.windows(width)) if n >= width else whole
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets at ``similarity`` or above share one of the first so many of each one's ``n`` elements, in any common order."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
-    def vote(h: np.ndarray) -> int:
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0])
+
+def common_shingles(texts: DataFrame, width: int, sample_docs: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """Shingles met three times or more in a sample, the most frequent last. Only the speed depends on it: any order finds all pairs."""
+    n = texts.count()
+    share = min(1.0, sample_docs / max(n, 1))
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    schema = arrow_schema("shingle long")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        known = word_hashes()
+        sets = [shingle_set(w, width, known)[1] for t in as_bytes(b.column(1)) if (w := (t or b"").lower().split())]
+        return record_batch(schema, np.concatenate(sets).view(np.int64)) if sets else None
+
+    found = map_arrow(some, run, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(most)
+    rows = found.toArrow().column("shingle").to_numpy().astype("<i8").view(np.uint64)
+    return rows[::-1].copy()
+
+
+def text_features(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, content (hash of the words), n (distinct shingles), sketch, prefix (rarest shingles first); blank texts are left out."""
+    ddl = "doc_id long, content long, n int, sketch binary, prefix binary"
+    schema = arrow_schema(ddl)
+    common = common_shingles(texts, width)
+    by_value = np.argsort(common)
+    values = common[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
@@ -203,63 +232,67 @@ def text_features(docs: DataFrame, width: int) -> DataFrame:
             for doc_id, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 words = (text or b"").lower().split()
                 if words:
-                    h = hash_words(words, known)
-                    r, n = Rolling(h), len(h)
-                    whole = r.ranges(np.array([0]), np.array([n]))
-                    once = np.unique(h)
-                    rows.append((doc_id, int(whole.view(np.int64)[0]), vote(once), vote(mix64(once + np.uint64(0x632BE59BD9B4E019))), sketch(r.windows(width) if n >= width else whole)))
+                    content, s = shingle_set(words, width, known)
+                    rank = np.zeros(len(s), np.int64)
+                    if len(values):
+                        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                        rank = np.where(values[at] == s, by_value[at] + 1, 0)
+                    first = s[np.lexsort((s, rank))][: prefix_length(len(s), similarity)]
+                    rows.append((doc_id, content, len(s), sketch(s), first.tobytes()))
             if rows:
                 yield record_batch(schema, *zip(*rows, strict=True))
 
-    tune(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null").mapInArrow(run, ddl)
+    tune(texts.sparkSession)
+    return texts.mapInArrow(run, ddl)
+
+
+def close_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) at ``similarity`` or above, as the sketch estimates it."""
+    ddl = "u long, v long"
+    edges = arrow_schema(ddl)
+
+    def rough(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        u, v, su, sv = (c.to_pylist() for c in b.columns)
+        ok = [(x, y) for x, y, p, q in zip(u, v, su, sv, strict=True) if likeness(p, q) >= similarity]
+        return record_batch(edges, *zip(*ok, strict=True)) if ok else None
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = spread_join(spread_join(pairs, side("u"), ["u"]), side("v"), ["v"])
+    both = both.where(f"least(nu, nv) >= {similarity} * greatest(nu, nv) - 1e-9").select("u", "v", "su", "sv")
+    return table(map_arrow(both, rough, ddl).distinct(), "close")
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: near-duplicates by ``width``-word shingles, for documents with an id and a word.
 
-    The same index at a wider reach. The fingerprints here are votes of a text's distinct words, in which an edit weighs
-    little: texts at a similarity of 0.8 differ in about 4 of 64 bits, and 4 differing bits leave 4 positional bytes. So
-    the postings are choices of 4 of 8 bytes, for two fingerprints (140 keys). Each posting links its members to its first
-    and its most copied one, which keeps hot postings linear and needs no list in one place; pairs are verified by the
-    similarity of their shingle sets. Equal texts are one node.
+    In one order of all shingles, the rare ones
+    first, such a pair shares one of the first fifth of either set (prefix filter), so these are the postings. First each
+    posting's members are compared with its first and its most copied one, which joins large groups without their square.
+    Pairs are verified. Equal texts are one node.
     """
-    f = table(text_features(docs, width), "features")
-    key = ["content", "f1", "f2"]
-    nodes = table(f.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "nodes")
-    choices = list(combinations(range(8), 4))
-    out = arrow_schema("key long, node long, copies long")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
+    f = table(text_features(texts, width, similarity), "features")
+    one = lambda c: F.min(c).alias(c)
+    nodes = table(f.groupBy("content").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), one("n"), one("sketch"), one("prefix")), "nodes")
+    ddl = "key long, node long, copies long, n int, at int"
+    out = arrow_schema(ddl)
 
     def post(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = []
-        for s in range(2):
-            x = b.column(s).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-            for k, (p, q, r, t) in enumerate(choices):
-                keys.append(((s * len(choices) + k) << 32) | (x[:, p] << 24) | (x[:, q] << 16) | (x[:, r] << 8) | x[:, t])
-        n = len(keys)
-        return record_batch(out, np.concatenate(keys), np.tile(b.column(2).to_numpy(), n), np.tile(b.column(3).to_numpy(), n))
-
-    posts = map_arrow(nodes.select("f1", "f2", "node", "copies"), post, "key long, node long, copies long")
-    heads = posts.groupBy("key").agg(F.min("node").alias("a"), F.max(F.struct("copies", (-F.col("node")).alias("m"))).alias("c"), F.max("node").alias("z")).where("a < z")
-    heads = table(heads.select("key", "a", (-F.col("c.m")).alias("c")), "heads")
+        keys = [np.frombuffer(x, "<i8") for x in b.column(0).to_pylist()]
+        size = [len(k) for k in keys]
+        own = [np.repeat(c.to_numpy(zero_copy_only=False), size) for c in b.columns[1:]]
+        return record_batch(out, np.concatenate(keys), *own, np.concatenate([np.arange(k, dtype=np.int32) for k in size]))
+
+    posts = map_arrow(nodes.select("prefix", "node", "copies", "n"), post, ddl)
+    heads = posts.groupBy("key").agg(F.min("node").alias("a"), F.max(F.struct("copies", (-F.col("node")).alias("m"))).alias("c"), F.max("node").alias("z"), F.count("*").alias("m")).where("a < z")
+    heads = table(heads.select("key", "a", (-F.col("c.m")).alias("c"), "m"), "heads")
     release(docs.sparkSession)
-    members = spread_join(posts.select("key", "node"), heads, ["key"])
-    pairs = members.select("node", F.explode(F.array("a", "c")).alias("to")).where("node <> to").select(F.greatest("node", "to").alias("u"), F.least("node", "to").alias("v")).distinct()
-    pairs = table(pairs, "pairs")
+    members = table(spread_join(posts.select("key", "node", "n", "at"), heads, ["key"]), "members")
     release(docs.sparkSession)
-    left = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("su"))
-    right = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("sv"))
-    both = spread_join(spread_join(pairs, left, ["u"]), right, ["v"]).select("u", "v", "su", "sv")
-    edges = arrow_schema("u long, v long")
-
-    def verify(b: pa.RecordBatch) -> pa.RecordBatch:
-        u, v, su, sv = (c.to_pylist() for c in b.columns)
-        ok = [likeness(x, y) >= similarity for x, y in zip(su, sv, strict=True)]
-        return record_batch(edges, *zip(*[(x, y) for x, y, k in zip(u, v, ok, strict=True) if k], strict=True)) if any(ok) else None
-
-    found = components(map_arrow(both, verify, "u long, v long"))
-    classes = nodes.join(found, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
-    return spread_join(f.select("doc_id", *key), table(classes, "classes"), key).select("doc_id", "component_id")
+    pairs = members.select("node", F.explode(F.array("a", "c")).alias("to")).where("node <> to").select(F.greatest("node", "to").alias("u"), F.least("node", "to").alias("v")).distinct()
+    first = table(components(close_pairs(table(pairs, "pairs"), nodes, texts, width, similarity)), "first-roots")
+    classes = nodes.join(first, "node", "left").select("content", F.coalesce("root", "node").alias("component_id"))
+    return spread_join(f.select("doc_id", "content"), table(classes, "classes"), ["content"]).select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -155,6 +155,17 @@ def test_near_groups(docs, rows):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {k for k, v in got.items() if k != v}
 
 
+def test_near_sets_share_a_prefix():
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 5, 9, 37, 300):
+        for _ in range(40):
+            a = rng.choice(10 * n, n, replace=False)
+            b = np.union1d(a[int(rng.integers(0, n // 9 + 1)) :], rng.choice(np.arange(10 * n, 20 * n), int(rng.integers(0, n // 9 + 1)), replace=False))
+            if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+                first = [set(np.sort(x)[: simhash.prefix_length(len(x), 0.8)]) for x in (a, b)]
+                assert first[0] & first[1]
+
+
 # ---------------------------------------------------------------- 3: quality rules
 
 
