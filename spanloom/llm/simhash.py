@@ -262,13 +262,63 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int
     return table(map_arrow(both, rough, ddl).distinct(), "close")
 
 
+def list_pairs(key: list[np.ndarray], node: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, block: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within each list (rows of equal ``key``, adjacent) that different roots, their sizes and the places of the shared shingle allow."""
+    new = np.zeros(len(node), bool)
+    new[:1] = True
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.r_[starts, len(node)])
+    end = np.repeat(starts + sizes, sizes)
+    i = np.arange(len(node))
+    cross = key[1] != key[2]  # of two blocks: only pairs with one row in each
+    for d in range(1, int(sizes.max(initial=1))):
+        i = i[i + d < end[i]]
+        if not len(i):
+            return
+        j = i + d
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (root[i] != root[j]) & (node[i] != node[j]) & ((1 + similarity) * most >= similarity * (n[i] + n[j]) - 1e-6) & (~cross[i] | (block[i] != block[j]))
+        if ok.any():
+            yield np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])
+
+
+def member_pairs(members: DataFrame, similarity: float, block_rows: int = 1000) -> DataFrame:
+    """(key, node, n, at, root, m) to pairs (u, v) of different roots; a list of ``m`` rows is dealt out by pairs of blocks."""
+    ddl = "u long, v long"
+    edges = arrow_schema(ddl)
+    blocks = F.ceil(F.col("m") / block_rows)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    dealt = dealt.select("key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "node", "root", "n", "at", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []  # the last list so far, which the next batch may continue
+        for b in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(rows[0]):
+                continue
+            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)] if kept else rows
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            cut = int(np.argmax(last))
+            kept = [x[cut:] for x in rows]
+            for u, v in list_pairs([x[:cut] for x in rows[:3]], *[x[:cut] for x in rows[3:]], similarity):
+                yield record_batch(edges, u, v)
+        if kept:
+            for u, v in list_pairs(kept[:3], *kept[3:], similarity):
+                yield record_batch(edges, u, v)
+
+    return dealt.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1").mapInArrow(run, ddl).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: near-duplicates by ``width``-word shingles, for documents with an id and a word.
 
     In one order of all shingles, the rare ones
     first, such a pair shares one of the first fifth of either set (prefix filter), so these are the postings. First each
     posting's members are compared with its first and its most copied one, which joins large groups without their square.
-    Pairs are verified. Equal texts are one node.
+    Then all members that are still in different groups are compared with each other, long postings in pairs of blocks; sizes
+    and places of the shared shingle rule most pairs out. Pairs are verified by an estimate. Equal texts are one node.
     """
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
     f = table(text_features(texts, width, similarity), "features")
@@ -291,7 +341,16 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     release(docs.sparkSession)
     pairs = members.select("node", F.explode(F.array("a", "c")).alias("to")).where("node <> to").select(F.greatest("node", "to").alias("u"), F.least("node", "to").alias("v")).distinct()
     first = table(components(close_pairs(table(pairs, "pairs"), nodes, texts, width, similarity)), "first-roots")
-    classes = nodes.join(first, "node", "left").select("content", F.coalesce("root", "node").alias("component_id"))
+    rest = spread_join(members.where("m > 2").select("key", "node", "n", "at", "m"), first, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    pairs = table(member_pairs(spread_join(rest, table(mixed, "mixed"), ["key"]), similarity), "member-pairs")
+    release(docs.sparkSession)
+    close = close_pairs(pairs, nodes, texts, width, similarity)
+    roots = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = close.join(roots("u"), "u", "left").join(roots("v"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    second = components(between).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    found = nodes.select("content", "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(second, "root", "left")
+    classes = found.select("content", F.coalesce("least", "root").alias("component_id"))
     return spread_join(f.select("doc_id", "content"), table(classes, "classes"), ["content"]).select("doc_id", "component_id")
 
 

@@ -166,6 +166,13 @@ def test_near_sets_share_a_prefix():
                 assert first[0] & first[1]
 
 
+def test_member_pairs_in_blocks(spark):
+    rows = [(k, i, 10, 0, i % 40, 90) for k in (1, 2) for i in range(90)]
+    members = spark.createDataFrame(rows, "key long, node long, n int, at int, root long, m long")
+    got = {(r.u, r.v) for r in simhash.member_pairs(members, 0.8, block_rows=20).collect()}
+    assert got == {(i, j) for i in range(90) for j in range(i) if i % 40 != j % 40}
+
+
 # ---------------------------------------------------------------- 3: quality rules
 
 
