@@ -247,19 +247,36 @@ def text_features(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) at ``similarity`` or above, as the sketch estimates it."""
+    """The pairs (u, v) at ``similarity`` or above, by the exact shingle sets; the sketch discards those six standard errors below."""
     ddl = "u long, v long"
     edges = arrow_schema(ddl)
+    held = {}
 
     def rough(b: pa.RecordBatch) -> pa.RecordBatch | None:
         u, v, su, sv = (c.to_pylist() for c in b.columns)
-        ok = [(x, y) for x, y, p, q in zip(u, v, su, sv, strict=True) if likeness(p, q) >= similarity]
+        ok = [(x, y) for x, y, p, q in zip(u, v, su, sv, strict=True) if likeness(p, q) >= similarity - 0.15]
+        return record_batch(edges, *zip(*ok, strict=True)) if ok else None
+
+    def exact(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        known = held.setdefault("known", word_hashes())
+        ok = []
+        for u, v, tu, tv in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
+            x, y = (shingle_set(t.lower().split(), width, known)[1] for t in (tu, tv))
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            if same >= similarity * (len(x) + len(y) - same) - 1e-9:
+                ok.append((u, v))
         return record_batch(edges, *zip(*ok, strict=True)) if ok else None
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = spread_join(spread_join(pairs, side("u"), ["u"]), side("v"), ["v"])
     both = both.where(f"least(nu, nv) >= {similarity} * greatest(nu, nv) - 1e-9").select("u", "v", "su", "sv")
-    return table(map_arrow(both, rough, ddl).distinct(), "close")
+    near = table(map_arrow(both, rough, ddl).distinct(), "near")
+    release(nodes.sparkSession)
+    wanted = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
+    own = table(spread_join(texts, wanted, ["doc_id"]).where("trim(text) <> ''").distinct(), "near-texts")
+    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+    both = spread_join(spread_join(near, side("u"), ["u"]), side("v"), ["v"]).select("u", "v", "tu", "tv")
+    return table(map_arrow(both, exact, ddl).distinct(), "close")
 
 
 def list_pairs(key: list[np.ndarray], node: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, block: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -314,11 +331,11 @@ def member_pairs(members: DataFrame, similarity: float, block_rows: int = 1000)
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: near-duplicates by ``width``-word shingles, for documents with an id and a word.
 
-    In one order of all shingles, the rare ones
+    Exact: all pairs at ``similarity`` or above are connected, and no others. In one order of all shingles, the rare ones
     first, such a pair shares one of the first fifth of either set (prefix filter), so these are the postings. First each
     posting's members are compared with its first and its most copied one, which joins large groups without their square.
     Then all members that are still in different groups are compared with each other, long postings in pairs of blocks; sizes
-    and places of the shared shingle rule most pairs out. Pairs are verified by an estimate. Equal texts are one node.
+    and places of the shared shingle rule most pairs out. Pairs are verified by their shingle sets. Equal texts are one node.
     """
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
     f = table(text_features(texts, width, similarity), "features")

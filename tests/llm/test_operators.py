@@ -166,6 +166,34 @@ def test_near_sets_share_a_prefix():
                 assert first[0] & first[1]
 
 
+def near_corpus(rng, n=150):
+    """Documents on a shared template below 0.8 with each other, and copies of some with a passage replaced, from 0.8 up."""
+    own = lambda k: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(k)]
+    shared = own(240)
+    texts = []
+    for _ in range(n):
+        w = list(shared)
+        for _ in range(6):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own(10)
+        texts.append(w)
+    for k, w in enumerate(texts[:60]):
+        m, at = 4 + k, rng.randrange(len(w) - 70)
+        texts.append([*w[:at], *own(m), *w[at + m :]] if k % 2 else w + own(4 + k))
+    order = rng.sample(range(len(texts)), len(texts))
+    return [(i, " ".join(texts[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.7])
+def test_near_groups_are_exact(spark, similarity):
+    rows = near_corpus(random.Random(3)) + [(1000 + k, t) for k, t in enumerate(["one two three", "one two three", "a b c d e f g", "a b c d e f h"])]
+    s = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.split()]}
+    like = {p: len(s[p[0]] & s[p[1]]) / len(s[p[0]] | s[p[1]]) for p in itertools.combinations(s, 2)}
+    assert sum(similarity <= x < similarity + 0.1 for x in like.values()) >= 10
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()}
+    assert got == plain_components(s, [p for p, x in like.items() if x >= similarity])
+
+
 def test_member_pairs_in_blocks(spark):
     rows = [(k, i, 10, 0, i % 40, 90) for k in (1, 2) for i in range(90)]
     members = spark.createDataFrame(rows, "key long, node long, n int, at int, root long, m long")
