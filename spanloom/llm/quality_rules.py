@@ -4,9 +4,11 @@ Each document gives two histograms: characters by class, and words by whether th
 bin each) or another. A language's reference is the mean histogram of all its documents that pass the base rules and are
 long enough. A document is rejected if either divergence (base 2, 0 to 1) exceeds its threshold; the thresholds allow for
 length, since a sample of n words from the reference itself diverges by about bins / (5.5 * n). Below ``min_words`` words the
-divergence isn't looked at (guard). Languages with fewer than ``min_docs`` reference documents, rare ones beyond the
-``most_langs`` with the most documents, and a null language use the mean over all. Common words are held against that mean as
-well and the lesser divergence counts, so that a text in two languages, or with a quotation, isn't rejected for it.
+divergence isn't looked at (guard). Common words are held against the mean over all documents as well and the lesser divergence
+counts, so that a text in two languages, or with a quotation, isn't rejected for it. A language with fewer than ``min_docs``
+reference documents has a reference of its own too, but its documents may fit any language's reference instead: the least
+divergence counts, as it does for documents without a language, whose own reference is the mean of the unlabelled. Where
+there is no reference at all, nothing is compared.
 
 Null text: no words, so it fails the base rules. Repeated rows are judged alike.
 """
@@ -114,29 +116,43 @@ def divergence(counts: str, reference: str | Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
 
 
-def references(f: DataFrame, min_words: int, min_docs: int, most_langs: int) -> DataFrame:
-    """lang (null: over all), ref_classes, ref_words; at most ``most_langs`` + 1 rows."""
+def references(f: DataFrame, min_words: int) -> DataFrame:
+    """lang (null: the unlabelled), n, ref_classes, ref_words: the mean of each language's sound documents, however few."""
     means = [F.avg(c).alias(f"c{i}") for i, c in enumerate(_share("classes", N_CLASSES))] + [F.avg(c).alias(f"w{i}") for i, c in enumerate(_share("words", N_WORDS))]
     sound = f.where(f"not base_failed and n_words >= {min_words}")
     shape = [F.array(*[f"c{i}" for i in range(N_CLASSES)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(N_WORDS)]).alias("ref_words")]
-    by_lang = sound.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *means).where(f"n >= {min_docs}").orderBy(F.desc("n"), "lang").limit(most_langs)
-    return by_lang.select("lang", *shape).union(sound.agg(F.count("*").alias("n"), *means).where("n > 0").select(F.lit(None).cast("string"), *shape))
+    return sound.groupBy("lang").agg(F.count("*").alias("n"), *means).select("lang", "n", *shape)
 
 
-def judge(docs: DataFrame, class_limit: float = 0.06, word_limit: float = 0.05, min_words: int = 50, min_docs: int = 30, most_langs: int = 200) -> DataFrame:
+def overall(refs: DataFrame) -> list[float] | None:
+    """The mean word shares of all sound documents."""
+    sums = refs.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("ref_words")[i]).alias(f"w{i}") for i in range(N_WORDS)]).first()
+    return [sums[f"w{i}"] / sums.n for i in range(N_WORDS)] if sums.n else None
+
+
+def _bins(shares: str | Column) -> Column:
+    """How many words a reference has."""
+    return F.array_size(F.filter(shares, lambda x: x >= 0.002))
+
+
+def judge(docs: DataFrame, class_limit: float = 0.06, word_limit: float = 0.05, min_words: int = 50, min_docs: int = 30) -> DataFrame:
     """doc_id, row, the base counts, base_failed, class_divergence, word_divergence (null where guarded), kept."""
     f = table(features(docs), "quality")
-    found = references(f, min_words, min_docs, most_langs).collect()  # at most most_langs + 1 rows
-    spark = docs.sparkSession
-    every = next((r for r in found if r.lang is None), None)
-    of_all = {c: F.array(*map(F.lit, every[f"ref_{c}"])) if every else F.lit(None).cast("array<double>") for c in ("classes", "words")}
-    named = spark.createDataFrame([r for r in found if r.lang is not None], "ref string, ref_classes array<double>, ref_words array<double>")
-    j = f.join(F.broadcast(named), f.lang == named.ref, "left")
-    j = j.withColumn("ref_classes", F.coalesce("ref_classes", of_all["classes"])).withColumn("ref_words", F.coalesce("ref_words", of_all["words"]))
-    long = (F.col("n_words") >= min_words) & F.col("ref_classes").isNotNull()
-    j = j.withColumn("class_divergence", F.when(long, divergence("classes", "ref_classes"))).withColumn("word_divergence", F.when(long, F.least(divergence("words", "ref_words"), divergence("words", of_all["words"]))))
-    bins = F.array_size(F.filter("ref_words", lambda x: x >= 0.002))
-    slack = 1.25 * bins / (5.5 * F.col("n_words"))
+    refs = table(references(f, min_words), "references")
+    mean = overall(refs)
+    of_all = F.array(*map(F.lit, mean)) if mean else F.lit(None).cast("array<double>")
+    own = refs.select(F.col("lang").alias("ref"), F.col("n").alias("ref_docs"), "ref_classes", "ref_words")
+    large = refs.where(f"lang is not null and n >= {min_docs}").agg(F.collect_list(F.struct("ref_classes", "ref_words")).alias("large"))  # one row
+    j = f.join(own, F.col("lang").eqNullSafe(F.col("ref")), "left").crossJoin(F.broadcast(large))
+    settled = F.col("lang").isNotNull() & (F.coalesce("ref_docs", F.lit(0)) >= min_docs)
+    mine = F.array(F.struct("ref_classes", "ref_words"))
+    tried = F.when(settled, mine).when(F.col("ref_docs").isNull(), F.col("large")).otherwise(F.concat("large", mine))
+    long = F.col("n_words") >= min_words
+    j = j.withColumn("tried", F.when(long, tried))
+    j = j.withColumn("class_divergence", F.array_min(F.transform("tried", lambda r: divergence("classes", r["ref_classes"]))))
+    j = j.withColumn("least", F.array_min(F.transform("tried", lambda r: F.struct(divergence("words", r["ref_words"]).alias("d"), (-_bins(r["ref_words"])).alias("bins")))))
+    j = j.withColumn("word_divergence", F.when(F.col("least").isNotNull(), F.least("least.d", divergence("words", of_all))))
+    slack = 1.25 * -F.col("least.bins") / (5.5 * F.col("n_words"))
     far = (F.col("class_divergence") > class_limit) | (F.col("word_divergence") > F.lit(word_limit) + slack)
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return j.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", kept.alias("kept"))

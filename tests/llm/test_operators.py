@@ -244,6 +244,23 @@ def test_symbols_are_rejected_and_prose_is_kept(spark):
     assert kept == set(range(60))
 
 
+def test_rare_and_unlabelled_languages_are_kept(spark):
+    rng = random.Random(6)
+
+    def prose(lang):
+        common = quality_rules.COMMON[lang].split() if lang in quality_rules.COMMON else ["il", "che", "di"]
+        return " ".join(rng.choice(common) if rng.random() < 0.45 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(250))
+
+    rows = [(i, prose("en"), "en") for i in range(400)] + [(1000 + i, prose("de"), "de") for i in range(40)]
+    rows += [(2000 + i, prose("fr"), "fr") for i in range(19)] + [(3000 + i, prose("de"), None) for i in range(10)] + [(4000, prose("xx"), "xx")]
+    rows += [(5000 + i, " ".join(f"{w}%%%" for w in prose("en").split()), None if i % 2 else "fr") for i in range(4)]
+    rows += [(10_000 + i, prose("es"), f"l{i // 30}") for i in range(30 * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
+    clean = {r[0] for r in rows if not 5000 <= r[0] < 6000}
+    assert kept <= clean and sorted(clean - kept)[:50] == []
+
+
 # ---------------------------------------------------------------- 6: id files
 
 
