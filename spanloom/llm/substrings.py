@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring deduplication by hashed blocks between anchors, in place of a relative Lempel-Ziv parse: no greedy longest factors are sought.
 
 Every document is a reference for those with larger ids. Each window of ``window`` words has an anchor, the leftmost of
 its runs of ``gram`` words with the least hash; successive windows with one anchor form a block. Equal windows have equal
