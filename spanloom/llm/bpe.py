@@ -21,20 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spanloom.llm.common import Bounded, arrow_schema, map_arrow, record_batch
-from spanloom.llm.tokens import PieceEncoder
+from spanloom.llm.tokens import PieceEncoder, byte_letters
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokenizer's pattern; fixed values.
 PRE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = (chr(256 + i) for i in range(256 - len(own)))
-    return [chr(b) if b in own else next(rest) for b in range(256)]
-
-
 class Bpe:
     def __init__(self, path: str):
         import regex

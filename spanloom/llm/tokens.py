@@ -11,15 +11,27 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
+from itertools import chain
 
 from spanloom.llm.common import Bounded
 
 _EDGE = re.compile(r"[!-~\w]")
 _SPACE = re.compile(r"\s")
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all ASCII punctuation but the apostrophe, which could begin a contraction
+_BEYOND_LATIN = "\u0250"  # letters below are letters in any version of Unicode
 _NEWLINE = "  "  # the key of a newline between two lines; no piece has two spaces
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + i) for i in range(256 - len(own)))
+    return [chr(b) if b in own else next(rest) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(byte_letters()))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -31,10 +43,11 @@ class PieceEncoder:
 
     A key of the cache is a piece that follows a space, or a space and a piece that follows none. False: it holds white
     space that may join with its neighbours'. When the cache is full, what was not used since the last time goes.
+    ``encode_word(word, spaced)``, if given, encodes a run of Latin letters, with a space before it or none: always a single pre-token.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cached: int = 400_000):
-        self.encode_many, self.cached = encode_many, cached
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cached: int = 400_000, encode_word: Callable[[str, bool], bytes] | None = None):
+        self.encode_many, self.cached, self.encode_word = encode_many, cached, encode_word
         self.newline = self._bytes(["\n"])[0]
         self.young: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
@@ -42,31 +55,20 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
-        get = self.young.get
-        found, gaps, new = [], [], {}
+        split = []
         for t in texts:
             words = t.split(" ") if t else []
             if words:
                 words[0] = " " + words[0]
-            got = list(map(get, words))
-            i = -1
-            while True:
-                try:
-                    i = got.index(None, i + 1)
-                except ValueError:
-                    break
-                gaps.append((got, i, words[i]))
-                new[words[i]] = None
-            found.append(got)
+            split.append(words)
+        new = set(chain.from_iterable(split)).difference(self.young)
         if new:
             self._learn(new)
-            young = self.young
-            for got, i, p in gaps:
-                got[i] = young[p]
+        get = self.young.__getitem__
         out: list[bytes | None] = []
-        for got in found:
+        for words in split:
             try:
-                out.append(b"".join(got))
+                out.append(b"".join(map(get, words)))
             except TypeError:  # a False
                 out.append(None)
         whole = [k for k, ids in enumerate(out) if ids is None]
@@ -74,37 +76,46 @@ class PieceEncoder:
             out[k] = ids
         return out
 
-    def _learn(self, new) -> None:
-        young, held, was = self.young, self.young.get, self.old.get
-        atoms, cuts = [], []
+    def _learn(self, new: set[str]) -> None:
+        """Adds the keys in ``new``: from the old cache, or encoded, or joined from the parts they are cut into."""
+        young, old = self.young, self.old
+        if old:
+            known = new & old.keys()
+            young.update(zip(known, map(old.__getitem__, known), strict=True))
+            new = new - known
+        word, atoms, cuts = self.encode_word, [], []
+
+        def atom(p: str, core: str) -> None:
+            if word and (core.isascii() or max(core) < _BEYOND_LATIN):
+                young[p] = word(core, core is p)
+            else:
+                atoms.append(p)
+
         for p in new:
-            if (v := was(p)) is not None:
-                young[p] = v
-            elif p.isalpha():
+            core = p[1:] if p[:1] == " " else p
+            if core.isalpha():
+                atom(p, core)
+                continue
+            bare = p.rstrip(_TAIL)
+            if bare != p and bare.isalpha():
+                cuts.append((p, (bare, " " + p[len(bare) :])))
+            elif (cut := self._cut(p)) is None:
+                young[p] = False
+            elif len(cut) == 1:
                 atoms.append(p)
             else:
-                core = p.rstrip(_TAIL)
-                if core != p and core.isalpha():
-                    cuts.append((p, (core, " " + p[len(core) :])))
-                elif p[:1] == " " and p[1:].isalpha():
-                    atoms.append(p)
-                elif (cut := self._cut(p)) is None:
-                    young[p] = False
-                elif len(cut) == 1:
-                    atoms.append(p)
-                else:
-                    cuts.append((p, cut))
-        wanted = set(atoms)
-        for _, cut in cuts:
-            for p in cut:
-                if p != _NEWLINE and held(p) is None and p not in wanted:
-                    if (v := was(p)) is not None:
-                        young[p] = v
-                    else:
-                        wanted.add(p)
-                        atoms.append(p)
-        young.update(zip(atoms, self._bytes([p[1:] if p[0] == " " else " " + p for p in atoms]), strict=True))
+                cuts.append((p, cut))
         young[_NEWLINE] = self.newline
+        parts = set(chain.from_iterable(cut for _, cut in cuts)).difference(young).difference(atoms)
+        known = parts & old.keys()
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
+        for p in parts - known:
+            core = p[1:] if p[:1] == " " else p
+            if core.isalpha():
+                atom(p, core)
+            else:
+                atoms.append(p)
+        young.update(zip(atoms, self._bytes([p[1:] if p[0] == " " else " " + p for p in atoms]), strict=True))
         for p, cut in cuts:
             young[p] = b"".join(map(young.__getitem__, cut))
 
@@ -138,7 +149,13 @@ def _library(path: str) -> PieceEncoder:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return PieceEncoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+    tokenize = t.model.tokenize
+
+    def encode_word(word: str, spaced: bool) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [x.id for x in tokenize(_LETTERS[32] + letters if spaced else letters)]).tobytes()
+
+    return PieceEncoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], encode_word=encode_word)
 
 
 _encoders = Bounded(_library, 4)
