@@ -82,6 +82,26 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return mixed(left).join(mixed(right), [*keys, "_mix"], how).drop("_mix")
 
 
+def beside(docs: DataFrame, other: DataFrame, keys: dict[str, F.Column], how: str = "left", values: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` joined with ``other`` by ``keys`` (column of ``other`` to expression over ``docs``; nulls are equal).
+
+    ``values`` are columns that ``other`` adds: its name for each and the name in the result, which ``docs`` mustn't have. The columns
+    of ``docs`` may have any names, even those of ``other``: inside, they lie in one struct. Both sides are dealt out just
+    before the join, so a hot key can be split.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[e.alias(f"k_{k}") for k, e in keys.items()])
+    mix = F.xxhash64(*[F.col(f"k_{k}") for k in keys]).alias("k_mix")
+    left = whole.select("*", mix)
+    right = other.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(c).alias(f"v_{c}") for c in values or {}]).select("*", mix)
+    left, right = left.alias("l"), right.alias("r")
+    on = F.col("l.k_mix") == F.col("r.k_mix")
+    for k in keys:
+        on = on & F.col(f"l.k_{k}").eqNullSafe(F.col(f"r.k_{k}"))
+    joined = left.join(right, on, how)
+    back = [F.col("d").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*back, *[F.col(f"v_{c}").alias(name) for c, name in (values or {}).items()])
+
+
 def row_key(text: str = "text") -> F.Column:
     """Tells apart rows that share a document id; rows equal in id and text get equal answers."""
     return F.hash(F.col(text))

@@ -222,21 +222,107 @@ def test_op3(docs, rows):
         assert not (r.base_failed and r.kept)
 
 
-def test_divergence(spark):
-    def plain(c, q):
-        p = [x / sum(c) for x in c]
-        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
-        half = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
-        return (half(p) + half(q)) / 2
+def plain_divergence(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    half = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return (half(p) + half(q)) / 2
+
+
+def test_divergence():
+    p, q = [[0.3, 0, 0.5, 0.2], [1, 0, 0, 0]], [0.1, 0.4, 0.5, 0.0]
+    assert np.allclose(quality_rules.divergence(np.array(p), np.array(q)), [plain_divergence(x, q) for x in p])
+
+
+def plain_judge(rows, class_limit=0.245, word_limit=0.27, min_words=50, most=100):
+    """doc_id to (class distance, word distance, kept), everything counted in dictionaries."""
+    strip, kinds = ".,;:!?'\"()-", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\x0c\r", ".,;:!?'\"()-", "#*$%&|<>"]
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    words = lambda t: [w.strip(strip) for w in WORD.findall(low(t))]
+    kind = lambda c: next((k for k, x in enumerate(kinds) if c in x), 6 if ord(c) < 128 else 7)
+    held = collections.defaultdict(collections.Counter)
+    for _, t, lang, *_ in rows:
+        held[lang].update(set(words(t or "")) - {""})
+    own = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:most]] for lang, c in held.items()}
+    every = sorted({w for x in own.values() for w in x})
+
+    def shares(items, bins):
+        c = collections.Counter(items)
+        return [c[b] / len(items) for b in bins]
+
+    def by_word(t, bins):
+        s = shares(words(t), bins)
+        return [*s, 1 - sum(s)]
+
+    def base_failed(t):
+        w = WORD.findall(t)
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        return len(w) < 10 or 100 * len({j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}) > 20 * len(w)
+
+    sound = [(t, lang) for _, t, lang, *_ in rows if t and not base_failed(t) and len(words(t)) >= min_words]
+    refs = {}
+    for lang in own:
+        mine = [t for t, x in sound if x == lang]
+        if mine:
+            refs[lang] = (np.mean([shares(list(map(kind, t)), range(8)) for t in mine], 0), np.mean([by_word(t, own[lang]) for t in mine], 0))
+    overall = np.mean([by_word(t, every) for t, _ in sound], 0) if sound else None
+    out = {}
+    for i, t, lang, *_ in rows:
+        t = t or ""
+        n = len(WORD.findall(t))
+        best = None
+        for name in [lang, *[x for x in refs if x != lang]] if n >= min_words else ():
+            if name in refs and (best is None or best[0] > 1):
+                c = plain_divergence(shares(list(map(kind, t)), range(8)), refs[name][0])
+                w = plain_divergence(by_word(t, own[name]), refs[name][1])
+                limit = word_limit**2 + 1.25 * sum(x >= 0.002 for x in refs[name][1]) / (5.5 * n)
+                excess = max(c / class_limit**2, w / limit)
+                if best is None or excess < best[0]:
+                    best = (excess, c, w, limit)
+        if best is None:
+            out[i] = (None, None, not base_failed(t))
+            continue
+        _, c, w, limit = best
+        if w > limit:
+            w = min(w, plain_divergence(by_word(t, every), overall))
+        out[i] = (max(c, 0) ** 0.5, max(w, 0) ** 0.5, not base_failed(t) and c <= class_limit**2 and w <= limit)
+    return out
+
 
-    c, q = [3, 0, 5, 2], [0.1, 0.4, 0.5, 0.0]
-    got = spark.createDataFrame([(c, q)], "c array<int>, q array<double>").select(quality_rules.divergence("c", "q")).first()[0]
-    assert abs(got - plain(c, q)) < 1e-12
+def test_op3_verdict(spark):
+    """Mixed languages, symbols, capitals, short and empty texts; references and limits written out in plain Python."""
+    rng = random.Random(11)
+    common = {"en": [f"e{k}" for k in range(30)], "fr": [f"é{k}" for k in range(30)], None: [f"n{k}" for k in range(30)], "zu": ["u1", "u2"]}
+    prose = lambda lang, n: " ".join(rng.choice(common[lang]) if rng.random() < 0.5 else "".join(rng.choices("abcdefé", k=6)) for _ in range(n))
+    rows = []
+    for i in range(120):
+        lang = rng.choice(["en", "en", "fr", None])
+        t = prose(lang, rng.choice([5, 30, 60, 200, 400]))
+        t = {0: t.upper(), 1: t.replace(" ", " %$# "), 2: t + " " + prose("en", 150), 3: "1 2 3 " * 40 + t}.get(i % 12, t)
+        rows.append((i, t, lang))
+    rows += [(500, prose("zu", 90), "zu"), (501, None, "en"), (502, "", "fr"), (503, prose("fr", 300), "en")]
+    want = plain_judge(rows)
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)))
+    for i, (c, w, kept) in want.items():
+        r = got[i]
+        assert (r.class_distance is None) == (c is None) and r.kept == kept, i
+        if c is not None:
+            assert abs(r.class_distance - c) < 1e-6 and abs(r.word_distance - w) < 1e-6, i
+    assert 5 < sum(k for *_, k in want.values()) < 110 and got[503].kept
+    many = quality_rules.judge(spark.createDataFrame(rows * 7, "doc_id long, text string, lang string"))
+    assert {(r.doc_id, r.kept) for r in many.collect()} == {(i, k) for i, (*_, k) in want.items()}  # the same at any size
+
+
+COMMON = {
+    "en": "the of and to a in is it that for was on are as with be by this he from or an at not which have were had but they",
+    "de": "der die das und in den von zu mit sich des auf ist im dem nicht ein eine als auch es an er so dass wie bei aus nach",
+    "fr": "le la les de des du et un une en est que qui dans pour sur par au il elle ne pas avec ce se plus son sa ou aux",
+    "es": "de la que el en y a los del se las por un para con no una su al lo como pero sus le ya es fue este",
+}
 
 
 def test_symbols_are_rejected_and_prose_is_kept(spark):
     rng = random.Random(4)
-    common = quality_rules.COMMON["en"].split()
+    common = COMMON["en"].split()
     prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(120))
     rows = [(i, prose()) for i in range(60)] + [(100 + i, " ".join(f"{w}%%%" for w in prose().split())) for i in range(5)] + [(200 + i, prose().upper()) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
@@ -248,7 +334,7 @@ def test_rare_and_unlabelled_languages_are_kept(spark):
     rng = random.Random(6)
 
     def prose(lang):
-        common = quality_rules.COMMON[lang].split() if lang in quality_rules.COMMON else ["il", "che", "di"]
+        common = COMMON[lang].split() if lang in COMMON else ["il", "che", "di"]
         return " ".join(rng.choice(common) if rng.random() < 0.45 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(250))
 
     rows = [(i, prose("en"), "en") for i in range(400)] + [(1000 + i, prose("de"), "de") for i in range(40)]
