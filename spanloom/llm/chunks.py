@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_schema, record_batch, tune
+from spanloom.llm.common import arrow_schema, record_batch, table, tune
 from spanloom.llm.ranges import range_parts
 
 LEAST, NORMAL, MOST = 12, 32, 128
@@ -104,25 +104,22 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, fn, ddl: str, part_docs: int = 1000) -> DataFrame:
     """``fn(doc_id, text, next text)`` gives a row of ``ddl``; the next document by ascending id, after the last the first.
 
-    Texts are dealt out once, by ranges of ids. The first document of each range goes to the range before it as well,
-    there to follow its last; so no window runs over the whole table.
+    Texts are dealt out once, by ranges of ids and, where many rows share an id, of hashes. The first document of each range goes to
+    the range before it as well, there to follow its last; so no window runs over the whole table, only one over the ranges.
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
-    parts = range_parts(docs.select("doc_id"), "doc_id", part_docs)
-    keyed = docs.withColumn("part", parts.of(F.col("doc_id"))).withColumn("h", F.xxhash64("text"))
-    last = parts.count - 1
+    keyed = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
+    parts = range_parts(keyed.select("doc_id", "h"), part_docs)
+    keyed = parts.add(keyed)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
-    firsts = {r.part: r.o for r in keyed.select("part", order.alias("o")).groupBy("part").agg(F.min("o").alias("o")).collect()}  # at most MOST_PARTS rows
-    present = sorted(firsts)
-    before = {p: present[k - 1] for k, p in enumerate(present)}  # of the first, the last
-    to = F.create_map(*[F.lit(x) for p in present for x in (p, before[p])])[F.col("part")] if present else F.lit(last)
-    is_first = F.lit(False)
-    if present:
-        ids = [firsts[p].doc_id for p in present if firsts[p].doc_id is not None]
-        is_first = F.col("doc_id").isin(ids) | F.col("doc_id").isNull()
-    marks = keyed.where(is_first).select(to.cast("int").alias("part"), "doc_id", "h", "text", F.lit(1).alias("mark"))
+    firsts = keyed.select("part", order.alias("o")).groupBy("part").agg(F.min("o").alias("o"))
+    firsts = table(firsts.select("part", F.col("o.doc_id").alias("first_id"), F.col("o.h").alias("first_h")), "firsts")  # at most two times MOST_PARTS rows
+    last = F.max("part").over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    to = F.coalesce(F.lag("part").over(Window.partitionBy(F.lit(0)).orderBy("part")), last)  # before the first part comes the last
+    marks = keyed.drop("part").join(F.broadcast(firsts.select("first_id", "first_h", to.alias("part"))), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    marks = marks.groupBy("part").agg(F.first(F.struct("doc_id", "h", "text")).alias("x"))  # rows equal in id and text are one mark
+    marks = marks.select("part", "x.doc_id", "x.h", "x.text", F.lit(1).alias("mark"))
     rows = keyed.select("part", "doc_id", "h", "text", F.lit(0).alias("mark")).union(marks)
     n = max(1, min(parts.count, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "mark", F.col("doc_id").asc_nulls_first(), "h")

@@ -24,8 +24,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; only where none is configured (tests on one machine) a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+    """The folder all executors see; only where all run on this machine, as in tests, it may be a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -67,7 +70,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches stay small even if all their texts are long."""
+    """Arrow batches stay small even if all their texts are long; set for the session, as plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -82,6 +85,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return mixed(left).join(mixed(right), [*keys, "_mix"], how).drop("_mix")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def beside(docs: DataFrame, other: DataFrame, keys: dict[str, F.Column], how: str = "left", values: dict[str, str] | None = None) -> DataFrame:
     """``docs`` joined with ``other`` by ``keys`` (column of ``other`` to expression over ``docs``; nulls are equal).
 

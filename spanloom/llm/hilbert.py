@@ -1,16 +1,17 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
 Each of several dimensions (here language, source and text size) is cut into 2**bits cells with about as many rows each,
-in its own order; texts are ordered by their first bytes. The cells' Hilbert index orders the rows, ties go by id and hash
-of the text, and the order is cut into runs of equal count (law ``rows``: counts differ by one at most). Neighbours on the
+in the order of its whole values. The cells' Hilbert index orders the rows; in a cell they go by a hash of id and text, then by
+these themselves. The order is cut into runs of equal count (law ``rows``: counts differ by one at most). Neighbours on the
 curve are neighbours in every dimension, so a shard spans a small box and a reader can skip files by min and max of each.
 
-All of it is DataFrame code. The rank of a row is found from counts: rows by cell and by a number of sub-buckets (a hash of
-the id, as many as the table's size asks for, so that a cell with a third of all rows is many small groups), added up over at
+All of it is DataFrame code. Cells come from the counts of all values, added up in ranges of values. Rows equal in id and text are one row with a
+count until the end. The rank of a row is found from counts: rows by cell and by ranges of the hash (as many as the table's
+size asks for, so that a cell with a third of all rows is many small groups; the order doesn't depend on how many), added up over at
 most 2**(bits * dimensions) cells. Texts are never shuffled to find the shards.
 
-Nulls are least in their dimension; a null text has size 16. Rows that share an id are separate rows. An empty table gives
-no rows.
+Nulls are least in their dimension; a null text has size 16. Rows that share an id are separate rows. Other columns aren't
+looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,22 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import beside, fresh, table
 
 
-def text_rank(c: Column, n: int = 6) -> Column:
-    """A number in the order of the first ``n`` bytes."""
-    raw = F.rpad(F.hex(F.substring(F.encode(F.coalesce(c.cast("string"), F.lit("")), "utf-8"), 1, n)), 2 * n, "0")
-    return F.conv(raw, 16, 10).cast("long")
+def cuts(df: DataFrame, dim: str, weight: str, bits: int) -> list:
+    """The values at which cells of about equal weight begin, ascending, at most 2**bits - 1; from the counts of all values."""
+    values = df.groupBy(dim).agg(F.sum(weight).alias("n"))
+    values = table(values.repartitionByRange(F.col(dim).asc_nulls_first()).select(F.col(dim).alias("value"), "n", F.spark_partition_id().alias("part")), "values")
+    per_part = values.groupBy("part").agg(F.sum("n").alias("s"))  # one row for each range of values
+    before = per_part.select("part", (F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("s")).alias("base"))
+    total = per_part.agg(F.sum("s")).first()[0]
+    if not total:
+        return []
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(F.col("value").asc_nulls_first())) + F.col("base")
+    middle = values.join(before, "part").select("value", (upto - F.col("n") / 2).alias("at"))
+    cell = F.floor(F.col("at") * (1 << bits) / total)
+    firsts = middle.where("value is not null").groupBy(cell.alias("cell")).agg(F.min("value").alias("value")).where("cell > 0")
+    return sorted(r.value for r in firsts.collect())  # at most one for each cell
 
 
-def quantise(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """Adds ``q_<dim>`` in 0 .. 2**bits - 1, by approximate percentiles over all rows; nulls are 0."""
-    k = 1 << bits
-    cuts = df.agg(*[F.percentile_approx(d, [i / k for i in range(1, k)], 10_000).alias(d) for d in dims]).first()
+def quantise(df: DataFrame, dims: list[str], bits: int, weight: str) -> DataFrame:
+    """Adds ``q_<dim>`` in 0 .. 2**bits - 1; nulls are 0."""
     for d in dims:
-        bounds = sorted(set(cuts[d] or []))
-        q = sum((F.when(F.col(d) >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+        q = sum((F.when(F.col(d) >= F.lit(b), 1).otherwise(0) for b in cuts(df, d, weight, bits)), F.lit(0))
         df = df.withColumn(f"q_{d}", F.coalesce(q, F.lit(0)).cast("int"))
     return df
 
@@ -89,18 +97,19 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return bind(bind(state, gray), interleave).cast("long")
 
 
-def ranked(df: DataFrame, cell: str, order: list[str], bucket_rows: int = 20_000) -> DataFrame:
-    """Adds ``rank``, 0 first, by ``cell``, then sub-bucket, then ``order``; the sub-bucket is a hash of ``order``."""
+def ranked(df: DataFrame, cell: str, order: list[str], weight: str, bucket_rows: int = 20_000) -> DataFrame:
+    """Adds ``rank``, the weight of all rows before, by ``cell``, then a hash of ``order``, then ``order``; rows are distinct in that."""
     n = df.count()
     subs = max(1, -(-n // bucket_rows))
-    df = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(subs)).cast("int"))
-    counts = df.groupBy(cell, "_sub").agg(F.count("*").alias("_n"))
+    df = df.withColumn("_h", F.xxhash64(*order))
+    df = df.withColumn("_sub", F.least(F.floor((F.col("_h").cast("double") / float(1 << 64) + 0.5) * subs), F.lit(subs - 1)))
+    counts = df.groupBy(cell, "_sub").agg(F.sum(weight).alias("_n"))
     per_cell = counts.groupBy(cell).agg(F.sum("_n").alias("_s"))
-    cells = per_cell.select(cell, (F.sum("_s").over(Window.orderBy(cell)) - F.col("_s")).alias("_before"))  # one row for each cell
+    cells = per_cell.select(cell, (F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy(cell)) - F.col("_s")).alias("_before"))  # one row for each cell
     inner = counts.select(cell, "_sub", (F.sum("_n").over(Window.partitionBy(cell).orderBy("_sub")) - F.col("_n")).alias("_in"))
     base = inner.join(cells, cell).select(cell, "_sub", (F.col("_before") + F.col("_in")).alias("_base"))
-    numbered = df.withColumn("_at", F.row_number().over(Window.partitionBy(cell, "_sub").orderBy(*order)))
-    return numbered.join(base, [cell, "_sub"]).withColumn("rank", F.col("_base") + F.col("_at") - 1).drop("_sub", "_base", "_at")
+    upto = F.sum(weight).over(Window.partitionBy(cell, "_sub").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_at", upto).join(base, [cell, "_sub"]).withColumn("rank", F.col("_base") + F.col("_at") - F.col(weight)).drop("_h", "_sub", "_base", "_at")
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, bits: int = 4) -> DataFrame:
@@ -111,15 +120,21 @@ def assign_shards(docs: DataFrame, shards: int = 40, bits: int = 4) -> DataFrame
         F.hash("text").alias("row"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "utf-8")).alias("text_crc32"),
-        text_rank(F.col("lang")).alias("d_lang"),
-        text_rank(F.col("source")).alias("d_source"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
     )
-    meta = table(meta, "shard-meta")
-    n = meta.count()
-    dims = ["d_lang", "d_source", "size"]
-    cells = quantise(meta, dims, bits)
+    same = meta.columns
+    meta = table(meta.groupBy(*same).agg(F.count("*").alias("copies")), "shard-meta")
+    n = meta.agg(F.sum("copies")).first()[0] or 0
+    dims = ["lang", "source", "size"]
+    cells = quantise(meta, dims, bits, "copies")
     cells = cells.withColumn("curve", hilbert_index([F.col(f"q_{d}") for d in dims], bits))
-    r = ranked(cells.select("doc_id", "row", "size", "text_crc32", "curve"), "curve", ["doc_id", "row"])
+    r = ranked(cells.select(*same, "copies", "curve"), "curve", ["doc_id", "row", "size", "text_crc32", "lang", "source"], "copies")
+    # One row again for each copy, in blocks so that no array is long.
+    block = 4096
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {block}"))).alias("b"))
+    nth = F.explode(F.sequence(F.col("b") * block, F.least(F.col("copies"), (F.col("b") + 1) * block) - 1))
+    r = r.select("doc_id", "row", "size", "text_crc32", "curve", "rank", nth.alias("nth")).withColumn("rank", F.col("rank") + F.col("nth"))
     small, large = divmod(n, shards)  # the first ``large`` shards hold one more
     edge = large * (small + 1)
     first = F.col("rank") < edge
@@ -129,9 +144,11 @@ def assign_shards(docs: DataFrame, shards: int = 40, bits: int = 4) -> DataFrame
 
 
 def write_shards(docs: DataFrame, out: str, shards: int = 40, bits: int = 4) -> None:
-    """Writes ``docs`` to ``out``/shard=N, sorted along the curve in each."""
-    at = assign_shards(docs, shards, bits).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "shard", "slot")
-    at = at.groupBy("_id", "_row").agg(F.min(F.struct("shard", "slot")).alias("_at"))  # rows equal in id and text go together
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_row", F.hash("text")).withColumnsRenamed({c: f"{c}_in" for c in ("shard", "slot") if c in docs.columns})
-    joined = keyed.join(at, keyed._id.eqNullSafe(at._id) & (keyed._row == at._row)).select(keyed["*"], F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))
-    joined.drop("_id", "_row").repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(out)
+    """Writes ``docs`` to ``out``/shard=N, sorted along the curve in each; rows equal in id and text go together.
+
+    Where ``docs`` has a column ``shard``, the folders are named ``shard_``.
+    """
+    at = assign_shards(docs, shards, bits).groupBy("doc_id", "row").agg(F.min(F.struct("shard", "slot")).alias("at")).select("doc_id", "row", "at.shard", "at.slot")
+    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
+    joined = beside(docs, at, {"doc_id": F.col("doc_id").cast("long"), "row": F.hash("text")}, values={"shard": shard, "slot": slot})
+    joined.repartition(shards, shard).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(out)

@@ -4,13 +4,14 @@ Format. A folder of Parquet files whose rows are blocks: part and block number,
 dictionary's hash, an index (ids, ends of frames in the payload, counts of token ids) and the payload, the documents'
 frames one after another. Parts are ranges of document ids in ascending order, blocks follow one another in a part. The
 dictionaries are a table ``dictionary`` beside it, keyed by hash. To read one short document, its block's row is found by
-the id range (a pushed-down filter) and one frame is decompressed. Ids are little-endian unsigned 16-bit integers if the
-vocabulary allows, else 32-bit; the dictionary's row says which.
+the id range (a pushed-down filter) and one frame is decompressed. Ids are little-endian unsigned 16-bit integers if all
+of the vocabulary's are below 65,536, else 32-bit; the dictionary's row says which.
 
-The dictionary is trained on a bounded sample (``sample_docs`` documents picked by a hash of their id, each cut
-to ``sample_bytes``): it only affects the size. All documents are encoded and written whole. A null text is an empty one;
+The dictionary is trained on a bounded sample (``sample_docs`` documents picked by a hash of their id, of each the ``sample_bytes``
+from a place the hash picks): it only affects the size. All documents are encoded and written whole. A null text is an empty one;
 each document ends with ``end_id``. Documents without an id come first. Rows that share an id stay in the order of their
-hash, each with its own frame. An empty table gives no blocks.
+hash, each with its own frame; a part is a range of (id, hash), so an id that many rows share is dealt to many parts. An empty
+table gives no blocks.
 """
 
 from __future__ import annotations
@@ -26,21 +27,22 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import arrow_schema, map_arrow, new_path, record_batch, release, spread_join, tune
 from spanloom.llm.ranges import range_parts
-from spanloom.llm.tokens import encoder
+from spanloom.llm.tokens import encoder, id_bytes, packed
 
-BLOCK = "part int, block int, first_id long, last_id long, dict_hash string, ids array<long>, ends array<long>, counts array<long>, n_ids long, payload binary"
+BLOCK = "part long, block int, first_id long, last_id long, dict_hash string, ids array<long>, ends array<long>, counts array<long>, n_ids long, payload binary"
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int = 1000, sample_bytes: int = 4096, size: int = 65_536) -> bytes:
     """At most ``size`` bytes; empty if there is too little to train on."""
     import zstandard
 
-    n = docs.count()
+    n, width = docs.count(), id_bytes(path, end_id)
     h = F.xxhash64("doc_id", F.lit("sample"))
     few = docs.where(F.pmod(h, F.lit(1 << 40)) <= int(min(1.0, 1.5 * sample_docs / max(n, 1)) * (1 << 40)))  # else each task would send its smallest
-    heads = few.where("text <> ''").select(F.substring("text", 1, sample_bytes).alias("text"), h.alias("h"))
-    rows = heads.orderBy("h").limit(sample_docs).collect()
-    samples = [_pack(x, end_id)[:sample_bytes] for x in encoder(path).encode([r[0] for r in rows])]
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("spot")), F.greatest(F.length("text") - sample_bytes, F.lit(1))).cast("int")
+    some = few.where("text <> ''").select(F.substring("text", spot + 1, F.lit(sample_bytes)).alias("text"), h.alias("h"))
+    rows = some.orderBy("h", "text").limit(sample_docs).collect()
+    samples = [packed(x, end_id, width) for x in encoder(path).encode([r[0] for r in rows])]
     samples = [s for s in samples if len(s) >= 8]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes()
@@ -48,12 +50,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int =
         return b""
 
 
-def _pack(ids: bytes, end_id: int, wide: bool = False) -> bytes:
-    a = np.frombuffer(ids, "<u4")
-    return np.append(a, np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes()
-
-
-def write_ids(docs: DataFrame, out: str, path: str, end_id: int, block_bytes: int = 1 << 20, part_docs: int = 2000, wide: bool = False) -> None:
+def write_ids(docs: DataFrame, out: str, path: str, end_id: int, block_bytes: int = 1 << 20, part_docs: int = 2000, level: int = 3) -> None:
     """Encodes ``text`` of every row of ``docs`` (doc_id, text) and writes the files to the folder ``out``."""
     import zstandard
 
@@ -61,15 +58,17 @@ def write_ids(docs: DataFrame, out: str, path: str, end_id: int, block_bytes: in
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     tune(spark)
     raw = train_dictionary(docs, path, end_id)
+    width = id_bytes(path, end_id)
+    wide = width == 4
     name = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(name, wide, bytearray(raw))], "dict_hash string, wide boolean, dictionary binary").coalesce(1).write.parquet(f"{out}/dictionary")
     frame = arrow_schema("doc_id long, h long, n long, frame binary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
         for b in batches:
             ids = encoder(path).encode(b.column(2).to_pylist())
-            yield record_batch(frame, b.column(0), b.column(1), [len(x) // 4 + 1 for x in ids], [z.compress(_pack(x, end_id, wide)) for x in ids])
+            yield record_batch(frame, b.column(0), b.column(1), [len(x) // 4 + 1 for x in ids], [z.compress(packed(x, end_id, width)) for x in ids])
 
     block = arrow_schema(BLOCK)
 
@@ -94,9 +93,10 @@ def write_ids(docs: DataFrame, out: str, path: str, end_id: int, block_bytes: in
         if frames:
             yield flush()
 
-    parts = range_parts(docs.select("doc_id"), "doc_id", part_docs)
-    frames = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(encode, "doc_id long, h long, n long, frame binary")
-    dealt = frames.withColumn("part", parts.of(F.col("doc_id"))).repartition(max(1, min(parts.count, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    parts = range_parts(keyed.select("doc_id", "h"), part_docs)
+    frames = keyed.mapInArrow(encode, "doc_id long, h long, n long, frame binary")
+    dealt = parts.add(frames).repartition(max(1, min(parts.count, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part")
     dealt.sortWithinPartitions("part", "doc_id", "h").select("part", "doc_id", "n", "frame").mapInArrow(gather, BLOCK).write.option("parquet.block.size", 16 << 20).parquet(f"{out}/blocks")
 
 
@@ -127,7 +127,7 @@ class Reader:
 
     def map_documents(self, fn, ddl: str) -> DataFrame:
         """``fn(ids as little-endian u32 array)`` gives the values of ``ddl``; returned with part, block, nth, doc_id, rel_start, n_tokens."""
-        full = f"part int, block int, nth int, doc_id long, rel_start long, n_tokens long, {ddl}"
+        full = f"part long, block int, nth int, doc_id long, rel_start long, n_tokens long, {ddl}"
         schema, opener = arrow_schema(full), self._opener()
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:

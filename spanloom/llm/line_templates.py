@@ -1,17 +1,18 @@
 """Line deduplication by log templates: a tree of fixed depth over token count and leading tokens. DataFrame code only.
 
 Parsing. A line's tokens (split at white space) that hold a digit become ``<*>``. The line goes to the leaf named by its number of
-tokens and its first ``depth`` tokens. In a leaf, a token in a later position stays if at least ``min_docs`` (document,
-line) pairs have it there, else it becomes ``<*>`` too: the leaf's variable fields. A template that keeps fewer than ``min_constant``
-of its tokens says too little, and the masked line stands for itself instead.
-
-Dropping. A template recurs if it is in ``min_docs`` documents or more and, counted by context, the end of the line before it
-and the beginning of the line after it, in at least as many contexts and in half as many as it has documents. Boilerplate
-stands among ever different lines; the lines of a copied document keep their neighbours, so copies of whole documents are
-left for near-duplicate removal, with their originals. All lines of recurring templates are dropped, first ones as well.
-
-Null or blank text: no lines. Lines of fewer than ``min_tokens`` tokens are never dropped. A line that a document repeats counts once. Rows without an
-id keep their lines. Rows that share an id count as one document and are cut each for itself.
+tokens and its first ``depth`` tokens. In a leaf, a token in a later position stays if at least ``min_docs`` of the leaf's
+(document, line) pairs and at least ``field_share`` of them have it there, else it is a value of a variable field and becomes
+``<*>`` too. A template that keeps fewer than ``min_constant`` of its tokens says too little, and the masked line stands for itself instead.
+
+Dropping. A template recurs if it is in ``min_docs`` documents or more. Documents are told apart by their whole text, so exact copies
+count once. Neither does a document count that is itself a near copy: ``copied_share`` or more of its bytes are lines that stand word for word in other
+documents; else every line of a document that was copied and edited five times would be lost with the original. All lines
+of recurring templates are dropped, in all documents, first ones as well.
+
+Lines are parsed where texts are read; all that follows is done once for each distinct text. Null or blank text: no lines.
+Lines of fewer than ``min_tokens`` tokens are never dropped. A line that a document repeats counts once. Ids aren't looked
+at: rows without one, or with the same, are documents like others. Equal texts are cut alike. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import release, row_key, spread_join, table
+from spanloom.llm.common import beside, fresh, release, spread_join, table
 
 _SPACE = "[ \\t\\x0B\\f\\r]+"
 
@@ -29,89 +30,118 @@ def _spaces(c: str) -> Column:
     return F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit(" "), F.lit("")))
 
 
-def lines_of(docs: DataFrame, min_tokens: int, with_context: bool = True) -> DataFrame:
-    """doc_id, row, nth (0 first), line, context: each line with ``min_tokens`` tokens or more."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.split(F.col("text").cast("string"), "\n").alias("l")).where("doc_id is not null and l is not null")
-    if with_context:
-        none = F.array(F.xxhash64(F.lit("")))
-        tails = F.concat(none, F.transform("l", lambda x: F.xxhash64(F.substring_index(x, " ", -3))))  # of the line before
-        heads = F.concat(F.slice(F.transform("l", lambda x: F.xxhash64(F.substring_index(x, " ", 3))), 2, F.greatest(F.array_size("l"), F.lit(1))), none)
-        rows = keyed.select("doc_id", "row", F.posexplode(F.arrays_zip(F.col("l"), F.slice(tails, 1, F.array_size("l")).alias("b"), heads.alias("a"))).alias("nth", "x"))
-        rows = rows.select("doc_id", "row", "nth", F.col("x.l").alias("raw"), F.xxhash64("x.b", "x.a").alias("context"))
-    else:
-        rows = keyed.select("doc_id", "row", F.posexplode("l").alias("nth", "raw")).withColumn("context", F.lit(None).cast("long"))
+def _text_keys() -> dict[str, Column]:
+    """What a text is known by: a hash and its length in bytes."""
+    text = F.col("text").cast("string")
+    return {"content": F.xxhash64(text), "size": F.octet_length(text)}
+
+
+def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """content, size, nth (0 first), line, masked (its digits' tokens masked), leaf, key: each line with ``min_tokens`` tokens or more."""
+    keys = [e.alias(k) for k, e in _text_keys().items()]
+    rows = docs.where("text is not null").select(*keys, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("nth", "raw"))
     odd = F.lit(False)
     for c in ("  ", "\t", "\x0b", "\f", "\r"):
         odd = odd | F.contains("raw", F.lit(c))
-    out = rows.select("doc_id", "row", "nth", F.trim(F.when(odd, F.regexp_replace("raw", _SPACE, " ")).otherwise(F.col("raw"))).alias("line"), "context")
-    return out.where(_spaces("line") >= min_tokens - 1)
-
-
-def parsed(lines: DataFrame, depth: int) -> DataFrame:
-    """Adds masked (the line with its digits' tokens masked), leaf and line_key (hashes)."""
+    line = F.trim(F.when(odd, F.regexp_replace("raw", _SPACE, " ")).otherwise(F.col("raw")))
+    out = rows.select("content", "size", "nth", line.alias("line")).where(_spaces("line") >= min_tokens - 1)
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
-    out = lines.withColumn("masked", masked)
-    return out.withColumn("leaf", F.xxhash64(_spaces("masked"), F.substring_index("masked", " ", depth))).withColumn("line_key", F.xxhash64("masked", F.lit(1)))
-
-
-def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_constant: float = 0.6, min_tokens: int = 3) -> tuple[DataFrame, DataFrame]:
-    """All lines as doc_id, row, nth, leaf, line_key, context; and leaf, line_key of the masked lines whose templates recur."""
-    lines = parsed(lines_of(docs, min_tokens), depth)
-    narrow = table(lines.select("doc_id", "row", "nth", "leaf", "line_key", "context"), "lines")
-    leaves = narrow.groupBy("leaf").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("line_key").alias("k0"), F.max("line_key").alias("k1")).where("d0 < d1")
+    out = out.withColumn("masked", masked)
+    return out.withColumn("leaf", F.xxhash64(_spaces("masked"), F.substring_index("masked", " ", depth))).withColumn("key", F.xxhash64("masked", F.lit(1)))
+
+
+def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_constant: float = 0.6, min_tokens: int = 3, field_share: float = 0.05, copied_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The lines of each distinct text as content, size, nth, leaf, key; and leaf, key of the masked lines whose templates recur."""
+    some = lambda c: F.first(c).alias(c)
+    lines = parsed(docs, depth, min_tokens).select("content", "size", "nth", "leaf", "key", F.xxhash64("line").alias("whole"), F.octet_length("line").alias("bytes"))
+    lines = table(lines.groupBy("content", "size", "nth").agg(some("leaf"), some("key"), some("whole"), some("bytes")), "lines")
+    shared = lines.groupBy("whole").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a < b").select("whole")
+    copied = spread_join(lines.select("content", "size", "whole", "bytes"), shared, ["whole"]).groupBy("content", "size").agg(F.sum("bytes").alias("s"))
+    copied = table(copied.where(F.col("s") >= copied_share * F.col("size")).select("content", "size"), "copied")
+    leaves = lines.groupBy("leaf").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.min("key").alias("k0"), F.max("key").alias("k1")).where("a < b")
     leaves = table(leaves.select("leaf", (F.col("k0") < F.col("k1")).alias("varied")), "leaves")
-    seen = table(spread_join(narrow, leaves, ["leaf"]).groupBy("leaf", "varied", "line_key", "doc_id", "context").agg(F.count("*").alias("c")), "seen")
-    pairs = seen.groupBy("leaf", "varied", "line_key", "doc_id").agg(F.count("*").alias("c")).groupBy("leaf", "varied", "line_key").agg(F.count("*").alias("pairs"))
+    held = spread_join(lines.select("leaf", "key", "content", "size"), leaves, ["leaf"]).groupBy("leaf", "varied", "key", "content", "size").agg(F.count("*").alias("c")).drop("c")
+    held = table(held, "held")
+    seen = spread_join(held, copied, ["content", "size"], "left_anti")
+    pairs = table(seen.groupBy("leaf", "varied", "key").agg(F.count("*").alias("pairs")), "pairs")
     # Leaves that can reach min_docs at all and hold more than one line: their tokens are looked at.
-    wide = pairs.where("varied").groupBy("leaf").agg(F.sum("pairs").alias("p")).where(F.col("p") >= min_docs).select("leaf")
-    again = parsed(lines_of(docs, min_tokens, with_context=False), depth)
-    texts = spread_join(again.select("leaf", "line_key", "masked"), table(wide, "varied-leaves"), ["leaf"]).groupBy("leaf", "line_key").agg(F.min("masked").alias("masked"))
-    texts = table(spread_join(texts, pairs.select("leaf", "line_key", "pairs"), ["leaf", "line_key"]), "variants")
-    tokens = texts.select("leaf", "line_key", "pairs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    wide = table(pairs.groupBy("leaf").agg(F.sum("pairs").alias("leaf_pairs"), F.first("varied").alias("varied")).where(f"varied and leaf_pairs >= {min_docs}").select("leaf", "leaf_pairs"), "varied-leaves")
+    again = parsed(docs, depth, min_tokens).select("leaf", "key", "masked")
+    texts = spread_join(again, wide, ["leaf"]).groupBy("leaf", "leaf_pairs", "key").agg(F.min("masked").alias("masked"))
+    texts = table(spread_join(texts, pairs.select("leaf", "key", "pairs"), ["leaf", "key"], "left"), "variants")
+    tokens = texts.select("leaf", "leaf_pairs", "key", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("pairs").alias("support"))
-    judged = spread_join(tokens, support, ["leaf", "at", "token"]).withColumn("stays", (F.col("at") < depth) | (F.col("support") >= min_docs))
+    enough = F.greatest(F.lit(float(min_docs)), field_share * F.col("leaf_pairs"))
+    judged = spread_join(tokens, support, ["leaf", "at", "token"]).withColumn("stays", (F.col("at") < depth) | (F.col("support") >= enough))
     kept = F.col("stays") & (F.col("token") != "<*>")
-    shapes = judged.groupBy("leaf", "line_key").agg(
+    shapes = judged.groupBy("leaf", "key").agg(
         F.count("*").alias("n"),
         F.count_if(kept).alias("constant"),
         F.bit_xor(F.xxhash64("at", F.when(F.col("stays"), F.col("token")).otherwise(F.lit("<*>")))).alias("shape"),
     )
-    shapes = shapes.where(F.col("constant") >= min_constant * F.col("n")).select("leaf", "line_key", "shape")
-    named = table(spread_join(seen.select("leaf", "line_key", "doc_id", "context"), shapes, ["leaf", "line_key"], "left").withColumn("template", F.coalesce("shape", "line_key")), "templates")
-    docs_of = named.groupBy("leaf", "template", "doc_id").agg(F.count("*").alias("c")).groupBy("leaf", "template").agg(F.count("*").alias("docs"))
-    docs_of = docs_of.where(F.col("docs") >= min_docs)
-    contexts = named.groupBy("leaf", "template", "context").agg(F.count("*").alias("c")).groupBy("leaf", "template").agg(F.count("*").alias("contexts"))
-    found = docs_of.join(contexts, ["leaf", "template"]).where(f"contexts >= {min_docs} and 2 * contexts >= docs").select("leaf", "template")
-    keys = spread_join(named.select("leaf", "template", "line_key"), found, ["leaf", "template"]).select("leaf", "line_key").distinct()
-    return narrow, table(keys, "recurring")
-
-
-def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_constant: float = 0.6, min_tokens: int = 3) -> DataFrame:
-    """_id, _row, _gone (positions of dropped lines), for each document that loses any."""
-    lines, keys = recurring_lines(docs, depth, min_docs, min_constant, min_tokens)
+    shapes = table(shapes.where(F.col("constant") >= min_constant * F.col("n")).select("leaf", "key", "shape"), "shapes")
+    named = lambda df: spread_join(df, shapes, ["leaf", "key"], "left").withColumn("template", F.coalesce("shape", "key"))
+    found = named(spread_join(held.drop("varied"), copied, ["content", "size"], "left_anti")).groupBy("leaf", "template", "content", "size").agg(F.count("*").alias("c"))
+    found = found.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "template")
+    keys = spread_join(named(held.select("leaf", "key").distinct()), found, ["leaf", "template"]).select("leaf", "key").distinct()
+    return lines.select("content", "size", "nth", "leaf", "key"), table(keys, "recurring")
+
+
+def _with_gone(docs: DataFrame, options: dict) -> tuple[DataFrame, str]:
+    """``docs`` and, in a column of the name returned, the positions of the lines to be dropped; null for none."""
+    lines, keys = recurring_lines(docs.select("text"), **options)
     release(docs.sparkSession)
-    hit = spread_join(lines.select("doc_id", "row", "nth", "leaf", "line_key"), keys, ["leaf", "line_key"])
-    return hit.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("nth").alias("_gone"))
+    gone = spread_join(lines, keys, ["leaf", "key"]).groupBy("content", "size").agg(F.collect_set("nth").alias("gone"))
+    name = fresh(docs, "gone")
+    return beside(docs, gone, _text_keys(), values={"gone": name}), name
 
 
-def cut_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with recurring lines cut out of ``text``, with _lines and _dropped (counts) beside their columns."""
-    gone = dropped_lines(docs, **options)
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_row", row_key())
-    j = keyed.join(gone, ["_id", "_row"], "left")
+def _kept(gone: str) -> Column:
+    """The text without its dropped lines."""
     text = F.col("text").cast("string")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    return j.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns], lines.cast("long").alias("_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("_dropped"))
+    return F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without recurring lines; documents of which no line is left go, those that had none before stay."""
-    cut = cut_lines(docs, **options)
-    return cut.where("_dropped = 0 or trim(text) <> ''").drop("_lines", "_dropped")
+    cut, gone = _with_gone(docs, options)
+    return cut.withColumn("text", _kept(gone)).where(F.col(gone).isNull() | (F.trim("text") != "")).select(*docs.columns)
 
 
 def line_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row."""
-    cut = cut_lines(docs.select("doc_id", "text"), **options)
-    return cut.select(F.col("doc_id").cast("long"), F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    cut, gone = _with_gone(docs.select("doc_id", "text"), options)
+    text = F.col("text").cast("string")
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    dropped = F.coalesce(F.array_size(gone), F.lit(0)).cast("long")
+    return cut.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.sha2(F.coalesce(_kept(gone), F.lit("")), 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for the rows of ``line_digests`` with its defaults.
+DIGESTS_SQL = r"""
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT text, unnest(range(len(string_split(text, chr(10))))) AS nth, unnest(string_split(text, chr(10))) AS raw FROM texts),
+lines AS (SELECT text, nth, trim(regexp_replace(raw, '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS line FROM raw),
+masked AS (SELECT *, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS tokens FROM lines WHERE len(string_split(line, ' ')) >= 3),
+leafed AS (SELECT *, (len(tokens), tokens[1:3]) AS leaf FROM masked),
+shared AS (SELECT line FROM leafed GROUP BY line HAVING count(DISTINCT text) > 1),
+copied AS (SELECT text FROM leafed JOIN shared USING (line) GROUP BY text HAVING sum(strlen(line)) >= 0.8 * strlen(text)),
+pairs AS (SELECT DISTINCT leaf, tokens, text FROM leafed WHERE text NOT IN (SELECT text FROM copied)),
+leaves AS (SELECT leaf, count(*) AS leaf_pairs FROM pairs GROUP BY leaf),
+variants AS (SELECT DISTINCT leaf, tokens FROM leafed),
+counted AS (SELECT leaf, tokens, count(text) AS n FROM variants LEFT JOIN pairs USING (leaf, tokens) GROUP BY leaf, tokens),
+spread AS (SELECT leaf, tokens, n, unnest(range(len(tokens))) AS spot, unnest(tokens) AS token FROM counted),
+support AS (SELECT leaf, spot, token, sum(n) AS support FROM spread GROUP BY leaf, spot, token),
+judged AS (SELECT s.*, s.spot < 3 OR p.support >= greatest(5.0, 0.05 * l.leaf_pairs) AS stays
+           FROM spread s JOIN support p USING (leaf, spot, token) JOIN leaves l USING (leaf)),
+shapes AS (SELECT leaf, tokens, list(CASE WHEN stays THEN token ELSE '<*>' END ORDER BY spot) AS shape FROM judged GROUP BY leaf, tokens
+           HAVING count(*) FILTER (stays AND token <> '<*>') >= 0.6 * count(*)),
+named AS (SELECT v.leaf, v.tokens, coalesce(s.shape, v.tokens) AS template FROM variants v LEFT JOIN shapes s USING (leaf, tokens)),
+recurring AS (SELECT leaf, template FROM pairs JOIN named USING (leaf, tokens) GROUP BY leaf, template HAVING count(DISTINCT text) >= 5),
+gone AS (SELECT DISTINCT f.text, f.nth FROM leafed f JOIN named n USING (leaf, tokens) JOIN recurring r ON r.leaf = n.leaf AND r.template = n.template),
+kept AS (SELECT r.text, count(g.nth) AS n_dropped, coalesce(string_agg(r.raw, chr(10) ORDER BY r.nth) FILTER (g.nth IS NULL), '') AS kept
+         FROM raw r LEFT JOIN gone g ON g.text = r.text AND g.nth = r.nth GROUP BY r.text)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.text = d.text
+"""

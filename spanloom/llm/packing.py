@@ -24,20 +24,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import arrow_schema, map_arrow, record_batch, release, spread_join, table
-from spanloom.llm.tokens import encoder
+from spanloom.llm.tokens import encoder, id_bytes, packed
 
 
-def combinations_filling(window: int, lengths: np.ndarray) -> np.ndarray:
-    """Pairs and triples of the given lengths that sum to ``window``, as rows of three with 0 for none."""
+def combinations_filling(window: int, lengths: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """Pairs and triples of the given lengths that sum to ``window``, as rows of three with 0 for none.
+
+    All pairs; triples for the longest first length first, as long as there are fewer than ``most`` (a window of 1024 has 87,000).
+    Beyond, remainders that would need other triples are packed with the residuals, which pads nothing either.
+    """
     have = np.zeros(window + 1, bool)
     have[lengths] = True
     a = np.arange(window // 2, window)
     pairs = a[have[a] & have[window - a]]
-    out = [np.c_[pairs, window - pairs, np.zeros_like(pairs)]]
-    for a in lengths[lengths * 3 >= window]:
+    out, n = [np.c_[pairs, window - pairs, np.zeros_like(pairs)]], 0
+    for a in sorted(lengths[lengths * 3 >= window], reverse=True):
         b = np.arange(max(1, -(-(window - a) // 2)), min(a, window - a - 1) + 1)
         b = b[have[b] & have[window - a - b]]
         out.append(np.c_[np.full_like(b, a), b, window - a - b])
+        if (n := n + len(b)) >= most:
+            break
     return np.concatenate(out)
 
 
@@ -141,22 +147,19 @@ def place(plan: Plan, window: int, length: int, rank: int) -> list[tuple[int, in
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, buckets: int) -> DataFrame:
-    """rid, bucket, doc_id, n, ids (16-bit where the vocabulary allows, else 32-bit), written to the shared folder."""
+    """rid, bucket, doc_id, n, ids (``id_bytes`` each), written to the shared folder."""
     schema = arrow_schema("doc_id long, n long, ids binary")
+    size = id_bytes(path, end_id)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder(path).encode(b.column(1).to_pylist())]
-        return record_batch(schema, b.column(0), [len(x) for x in ids], [b"\2" + x.astype("<u2").tobytes() if x.max() < 65_536 else b"\4" + x.tobytes() for x in ids])
+        ids = [packed(x, end_id, size) for x in encoder(path).encode(b.column(1).to_pylist())]
+        return record_batch(schema, b.column(0), [len(x) // size for x in ids], ids)
 
     rows = map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, "doc_id long, n long, ids binary")
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     return table(rows.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int")), "tokens")
 
 
-def unpack(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype("<u4")
-
-
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, fn=None, extra: str = "ids_crc32 long") -> DataFrame:
     """A row for each piece: doc_id, start, length, ``extra`` (by ``fn(ids of the piece)``), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -179,11 +182,12 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, window: int = 10
     placed = ranked.join(per_bucket, "bucket").join(per_rest, ["bucket", "rest"]).select("rid", (F.col("full_base") + F.col("full_at")).alias("full_at"), (F.col("rank_base") + F.col("rank_at")).alias("rank"))
     ddl = f"doc_id long, start long, length long, {extra}, doc_tokens long, sequence_id long, offset long"
     schema = arrow_schema(ddl)
+    narrow = f"<u{id_bytes(path, end_id)}"
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc_id, n, ids, full_at, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            a, at = unpack(ids), 0
+            a, at = np.frombuffer(ids, narrow).astype("<u4"), 0
             pieces = [(full_base + full_at + k, 0, window) for k in range(n // window)]
             if n % window:
                 pieces += place(plan, window, n % window, rank)

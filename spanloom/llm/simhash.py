@@ -1,12 +1,15 @@
 """SimHash near-duplicates through an inverted index on byte positions, with count filtering.
 
 A fingerprint has eight positional bytes. Two fingerprints at ``bits`` = 2 differing bits or fewer differ in two bytes at
-most, so at least six positional bytes are shared: that is the guaranteed minimum. A posting for each single byte would
-hold one row in 256 or more, and pairs would have to be tallied over such lists. Here the tally is merged beforehand: a
-posting for each choice of six positions (28), so a list holds exactly the fingerprints that reach the minimum together,
-and at most 65,536 of them as only two bytes are left free. In a list, shared bytes are counted and the pair is verified
-by its differing bits. Short lists compare members directly; in long ones each member looks up the 136 values within two
-bits of its own, so no list costs its square.
+most, so at least six positional bytes are shared: the guaranteed minimum. A posting for each single byte would hold a 256th of
+the table and more; but whichever six bytes a pair shares, three of them are among the first five positions. So the index
+has ten postings for each fingerprint, one for each choice of three of those positions, and each pair that can reach the minimum meets in one.
+
+In a posting's list, shared positional bytes are tallied for each pair; pairs with at least the minimum are retained and
+verified by their differing bits. A list of more than ``most`` members is not tallied: it is dealt out again by one further byte, one posting for
+each of three of its remaining positions, of which a pair within reach shares at least one. So it goes on until lists are short
+enough or six bytes are fixed; then only two bytes are left free, at most 65,536 members differ, and each looks up the 136 values
+within two bits of its own. No list costs more than its length times ``most``, and none is gathered that is too long.
 
 Texts: ASCII letters are lower-cased, words are split at ASCII white space, shingles overlap. A null or blank text has the
 fingerprint zero, which links like any other. Repeated rows and equal texts share a fingerprint. Extra columns are not
@@ -24,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Rolling, arrow_schema, as_bytes, hash_words, map_arrow, mix64, record_batch, release, spread_join, table, tune, word_hashes
+from spanloom.llm.common import Rolling, arrow_schema, as_bytes, beside, hash_words, map_arrow, mix64, record_batch, release, spread_join, table, tune, word_hashes
 from spanloom.llm.components import components
 
-_SHORT = 48
 _FLIPS = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))], np.int64)
 
 
@@ -60,22 +62,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
-def postings(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (choice of six positions and their bytes) and the two bytes left, 28 rows for each fingerprint, choice by choice."""
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many positional bytes two fingerprints share, given the bits in which they differ."""
+    return (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+
+
+def posting_keys(fp: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """A list's name: the positions that are fixed (a bit each) and the bytes there, mixed."""
+    mask = np.zeros(256, np.uint64)
+    for k in range(8):
+        mask[(np.arange(256) >> k & 1).astype(bool)] |= np.uint64(0xFF) << np.uint64(8 * k)
+    return mix64(mix64(fp.view(np.uint64) & mask[fixed]) ^ fixed.astype(np.uint64)).view(np.int64)
+
+
+def first_postings(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fixed positions, fingerprint) of the ten postings of each fingerprint."""
+    choices = [sum(1 << k for k in c) for c in combinations(range(5), 3)]
+    return np.repeat(np.array(choices, np.int16), len(fp)), np.tile(fp, len(choices))
+
+
+def further_postings(fixed: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three postings for each, with one of its first three free positions fixed as well."""
+    taken, out = fixed, []
+    for _ in range(3):
+        lowest = ~taken & (taken + 1)
+        out.append(fixed | lowest)
+        taken = taken | lowest
+    return np.concatenate(out).astype(np.int16), np.tile(fp, 3)
+
+
+def tally(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list's members that share the minimum of positional bytes and differ in ``bits`` bits or fewer; lists are whole and adjacent."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    end = np.repeat(starts + sizes, sizes)
+    i = np.arange(len(key))
+    for d in range(1, int(sizes.max(initial=1))):
+        i = i[i + d < end[i]]
+        x = fp[i] ^ fp[i + d]
+        near = i[(shared_bytes(x) >= 8 - bits) & (x != 0)]
+        near = near[np.bitwise_count((fp[near] ^ fp[near + d]).view(np.uint64)) <= bits]
+        us.append(fp[near])
+        vs.append(fp[near + d])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def look_up(fp: np.ndarray, fixed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one long list with six positions fixed: each member to the smallest of those it reaches within the list."""
+    free = [k for k in range(8) if not fixed >> k & 1]
     b = fp.view(np.uint8).reshape(-1, 8).astype(np.int64)
-    keys, rest = [], []
-    for k, (i, j) in enumerate(combinations(range(8), 2)):
-        key = np.full(len(fp), k, np.int64)
-        for p in range(8):
-            if p not in (i, j):
-                key = (key << 8) | b[:, p]
-        keys.append(key)
-        rest.append((b[:, i] << 8) | b[:, j])
-    return np.concatenate(keys), np.concatenate(rest)
-
-
-def link_list(rest: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one long list: each member to the smallest node of those it reaches within the list."""
+    rest = (b[:, free[0]] << 8) | b[:, free[1]]
+    rest, first = np.unique(rest, return_index=True)
+    fp = fp[first]
     flips = _FLIPS[np.array([int(x).bit_count() <= bits for x in _FLIPS])]
     at = np.full(1 << 16, -1, np.int64)
     at[rest] = np.arange(len(rest))
@@ -86,7 +125,7 @@ def link_list(rest: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray
         a.append(hit)
         b.append(to[hit])
     a, b = np.concatenate(a), np.concatenate(b)
-    order = np.argsort(np.argsort(node))
+    order = np.argsort(np.argsort(fp))
     low = order.copy()
     while True:
         new = low.copy()
@@ -95,60 +134,68 @@ def link_list(rest: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray
         if (new == low).all():
             break
         low = new
-    return node, np.sort(node)[low]
-
-
-def link_lists(key: np.ndarray, rest: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the members of each list; rows are sorted by key and lists are whole."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    us, vs = [], []
-    for s, n in zip(starts[sizes > _SHORT], sizes[sizes > _SHORT], strict=True):
-        u, v = link_list(rest[s : s + n], node[s : s + n], bits)
-        us.append(u[u != v])
-        vs.append(v[u != v])
-    some = np.repeat((sizes > 1) & (sizes <= _SHORT), sizes)
-    key, rest, node = key[some], rest[some], node[some]
-    for d in range(1, _SHORT):
-        same = np.flatnonzero(key[d:] == key[:-d])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(rest[same] ^ rest[same + d]) <= bits]
-        us.append(node[near])
-        vs.append(node[near + d])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([*us, empty]), np.concatenate([*vs, empty])
-
-
-def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
-    """(fp, node) with distinct fp to edges (u, v) that connect all fingerprints at ``bits`` differing bits or fewer."""
+    u, v = fp, np.sort(fp)[low]
+    return u[u != v], v[u != v]
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by their first column, cut so that no run of equal values is split."""
+    kept: list[np.ndarray] = []  # the last run so far, which the next batch may continue
+    for b in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(rows[0]):
+            continue
+        rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)] if kept else rows
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        kept = [x[cut:] for x in rows]
+        if cut:
+            yield [x[:cut] for x in rows]
+    if kept:
+        yield kept
+
+
+def links(nodes: DataFrame, bits: int = 2, most: int = 2000) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (u, v) that connect all at ``bits`` differing bits or fewer."""
     if not 0 <= bits <= 2:
         raise ValueError("six shared bytes are guaranteed for up to 2 differing bits")
     tune(nodes.sparkSession)
-    out = arrow_schema("key long, rest int, node long")
+    ddl, posting = "u long, v long", "key long, fixed short, fp long"
+    edges, out = arrow_schema(ddl), arrow_schema(posting)
 
     def post(b: pa.RecordBatch) -> pa.RecordBatch:
-        key, rest = postings(b.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
-        return record_batch(out, key, rest.astype(np.int32), np.tile(b.column(1).to_numpy(zero_copy_only=False), 28))
-
-    edges = arrow_schema("u long, v long")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []  # the last list so far, which the next batch may continue
-        for b in batches:
-            rows = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(rows[0]):
-                continue
-            rows = tuple(np.concatenate(x) for x in zip(*kept, rows, strict=True)) if kept else rows
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            kept = [tuple(x[cut:] for x in rows)]
-            if cut:
-                yield record_batch(edges, *link_lists(*(x[:cut].astype(np.int64) for x in rows), bits))
-        if kept:
-            yield record_batch(edges, *link_lists(*(x.astype(np.int64) for x in kept[0]), bits))
-
-    lists = map_arrow(nodes.select("fp", "node"), post, "key long, rest int, node long")
-    return lists.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long").distinct()
+        fixed, fp = first_postings(b.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        return record_batch(out, posting_keys(fp, fixed), fixed, fp)
+
+    def again(b: pa.RecordBatch) -> pa.RecordBatch:
+        fixed, fp = further_postings(*(c.to_numpy(zero_copy_only=False) for c in b.columns[1:]))
+        return record_batch(out, posting_keys(fp, fixed), fixed, fp)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, fp in whole_lists(batches):
+            yield record_batch(edges, *tally(key, fp, bits))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fixed, fp in whole_lists(batches):
+            for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+                yield record_batch(edges, *look_up(fp[part], int(fixed[part[0]]), bits))
+
+    dealt = lambda df: df.repartition("key").sortWithinPartitions("key")
+    lists = map_arrow(nodes.select("fp"), post, posting)
+    found = None
+    for n in (3, 4, 5, 6):
+        long = table(lists.groupBy("key").count().where(F.col("count") > most).select("key"), "long-lists")
+        some = long.limit(1).count() > 0
+        short = spread_join(lists, long, ["key"], "left_anti") if some else lists
+        pairs = dealt(short).mapInArrow(count, ddl)
+        found = pairs if found is None else found.union(pairs)
+        if not some:
+            break
+        rest = spread_join(lists, long, ["key"])
+        if n == 6:
+            found = found.union(dealt(rest.select("key", "fixed", "fp").distinct()).mapInArrow(reach, ddl))
+        else:
+            lists = table(map_arrow(rest.select("key", "fixed", "fp"), again, posting), "further-postings")
+    return found.distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
@@ -157,9 +204,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null ids keep their row and never name a component unless nothing else is in it.
     """
     fps = table(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct").withColumn("node", F.col("fp"))
-    found = components(links(nodes, bits))
-    roots = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = components(links(nodes, bits)).withColumnRenamed("node", "fp")
+    roots = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = table(spread_join(roots.select("fp", "root"), least, ["root"]).select("fp", "component_id"), "simhash-classes")
     release(docs.sparkSession)
@@ -376,6 +423,5 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Data
 
     Rows without an id or without a word stay, and so do rows that share the kept id.
     """
-    gone = near_groups(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return keyed.join(gone, "_id", "left_anti").drop("_id").select(*docs.columns)
+    gone = near_groups(docs, width, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return beside(docs, gone, {"doc_id": F.col("doc_id").cast("long")}, "left_anti")

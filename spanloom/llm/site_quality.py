@@ -7,7 +7,7 @@ good documents of all is the prior, hosts are shrunk toward it and paths toward
 spread between sites beyond what their sizes explain (method of moments), so a site with few documents hardly moves and a
 large one speaks for itself. A document's own share is taken out of its path before its posterior is used.
 
-Fit on a bounded sample: the ``max_labelled`` labelled documents with the smallest hash of their id. Everything else, the
+Fit on a bounded sample: the ``max_labelled`` labelled documents with the smallest hash of their id (of texts that share an id, the least). Everything else, the
 posteriors and the decision, covers all documents. Without labels of both kinds evidence is 0 and all are kept.
 
 Null text: no words, evidence from the intercept. Null host or path: a site of its own. Rows that share an id count each;
@@ -105,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple
     known = labels.selectExpr("cast(doc_id as long) _id", "cast(quality as double) q").where("_id is not null and q is not null")
     known = known.groupBy("_id").agg((F.avg("q") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    labelled = own.join(F.broadcast(known), "_id").withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int"))  # at most max_labelled ids
+    # At most max_labelled ids, and one text for each.
+    labelled = own.join(F.broadcast(known), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int"))
     labelled = table(labelled, "labelled")
     c = _counts(labelled)
     if not (c.sum(2) > 0).all():

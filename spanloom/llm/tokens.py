@@ -13,6 +13,8 @@ from array import array
 from collections.abc import Callable
 from itertools import chain
 
+import numpy as np
+
 from spanloom.llm.common import Bounded
 
 _EDGE = re.compile(r"[!-~\w]")
@@ -158,6 +160,20 @@ def _library(path: str) -> PieceEncoder:
     return PieceEncoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], encode_word=encode_word)
 
 
+def id_bytes(path: str, end_id: int) -> int:
+    """Bytes that an id of this vocabulary, or the end id, needs: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
+def packed(ids: bytes, end_id: int, size: int) -> bytes:
+    """32-bit ids and an end id in ``size`` bytes each."""
+    if size == 4:
+        return ids + end_id.to_bytes(4, "little")
+    return np.frombuffer(ids, "<u2")[::2].tobytes() + end_id.to_bytes(2, "little")
+
+
 _encoders = Bounded(_library, 4)
 
 
