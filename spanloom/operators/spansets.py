@@ -7,8 +7,8 @@ trace ids are shuffled where only they are asked for. Limits are applied once, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from spanloom.functions.predicates import Fields, needs
 from spanloom.operators import structural
 from spanloom.operators.context import enrich
 from spanloom.plans.syntax import Aggregate, Coalesce, Filter, GroupBy, Literal, Metric, Pipeline, Query, QueryError, ScalarFilter, ScalarMath, Select, SpansetOp, TopK
+from spanloom.sources.scratch import kept
 from spanloom.sources.spans import in_range
 
 _KEYS = ["trace_id", "span_id", "parent_span_id"]
@@ -25,17 +26,23 @@ _COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "
 
 @dataclass(frozen=True)
 class Spanset:
-    """``spans``: matching spans. ``condition``: set if they are those of the base that meet it. ``groups``: names of
+    """``found``: matching spans, or how to get them, where ids may do. ``condition``: set if they are those of the base that meet it. ``groups``: names of
     grouping columns. ``scalars``: an aggregate stands for the spans, with these columns per trace (and group). ``ids``: the
     traces, where they can be had for less than by way of the spans."""
 
-    spans: DataFrame
+    found: DataFrame | Callable[[], DataFrame]
     condition: Column | None = None
     groups: tuple[str, ...] = ()
     scalars: DataFrame | None = None
     columns: tuple = ()
     ids: DataFrame | None = None
 
+    @property
+    def spans(self) -> DataFrame:
+        if not isinstance(self.found, DataFrame):
+            object.__setattr__(self, "found", self.found())
+        return self.found
+
     def traces(self) -> DataFrame:
         """trace_id, each once."""
         source = self.scalars if self.scalars is not None else self.ids if self.ids is not None else self.spans
@@ -45,9 +52,10 @@ class Spanset:
 class Evaluator:
     """Evaluates pipelines over ``spans``; the time range (inclusive, ns) holds for what is matched, not for what is walked."""
 
-    def __init__(self, spans: DataFrame, query: Query, fields: Fields | None = None, walk_limit: int = structural.WALK_LIMIT, start_ns: int | None = None, end_ns: int | None = None):
+    def __init__(self, spans: DataFrame, query: Query, fields: Fields | None = None, walk_limit: int = structural.WALK_LIMIT, start_ns: int | None = None, end_ns: int | None = None, also: tuple = ()):
+        """``also``: expressions that will be asked of the matching spans."""
         self.fields = fields or Fields()
-        wanted = needs(query)
+        wanted = needs(query, *also)
         if not self.fields.trace_level:
             wanted -= {"trace"}
         self.all = spans
@@ -111,14 +119,31 @@ class Evaluator:
             both = marks.groupBy("trace_id").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).where("a and b").select("trace_id")
             return Spanset(self._either(a, b).spans.join(both, "trace_id", "left_semi"), ids=both)
         plain, negated, united = e.op.lstrip("!&"), e.op[0] == "!", e.op[0] == "&"
-        marks, walked = self._related(plain, a, b)
-        found = structural.RELATIONS[plain](marks, *([self.walk_limit] if walked else ()))
-        ids = found.select("trace_id") if walked else structural.traces(plain, marks)
         if united:  # the traces of a and those of a that also match: the traces of a
-            return Spanset(a.spans.unionByName(self._whole(found), allowMissingColumns=True).dropDuplicates(["trace_id", "span_id"]), ids=a.traces())
+            return Spanset(lambda: a.spans.unionByName(self._whole(self._found(plain, a, b)), allowMissingColumns=True).dropDuplicates(["trace_id", "span_id"]), ids=a.traces())
+        walked = plain in (">>", "<<")
+        found = self._found(plain, a, b) if walked else None
+        ids = found.select("trace_id") if walked else structural.traces(plain, self._marks(a, b))
         if negated:
             return Spanset(a.spans.join(ids.distinct(), "trace_id", "left_anti"), ids=a.traces().join(ids.distinct(), "trace_id", "left_anti"))
-        return Spanset(self._whole(found), ids=ids)
+        return Spanset(lambda: self._whole(found if walked else self._found(plain, a, b)), ids=ids)
+
+    def _found(self, op: str, a: Spanset, b: Spanset) -> DataFrame:
+        """The keys of the b spans that stand in the relation to an a."""
+        marks = self._marks(a, b)
+        if op not in (">>", "<<"):
+            return structural.RELATIONS[op](marks)
+        # Walking needs all spans of the traces that have both sides, in the time range or not. Which traces these are is
+        # written down at once: it decides how they are walked, and is read again for the walk.
+        if a.condition is not None and b.condition is not None and self.base is self.all:
+            yes = lambda c: F.coalesce(c, F.lit(False))
+            everything = self.base.select(*_KEYS, yes(a.condition).alias("a"), yes(b.condition).alias("b"))
+            sizes = kept(structural.candidates(everything), "candidates")
+        else:
+            both = kept(structural.candidates(marks).select("trace_id"), "candidates")
+            everything = self.all.select(*_KEYS).distinct().join(marks, _KEYS, "left").na.fill(False, ["a", "b"])
+            sizes = kept(self.all.join(both, "trace_id", "left_semi").groupBy("trace_id").agg(F.count("*").alias("n")), "sizes")
+        return structural.RELATIONS[op](everything, sizes, self.walk_limit)
 
     def _either(self, a: Spanset, b: Spanset) -> Spanset:
         if a.condition is not None and b.condition is not None:
@@ -134,20 +159,6 @@ class Evaluator:
         left = a.spans.select(*_KEYS, F.lit(True).alias("a"), F.lit(False).alias("b"))
         return left.union(b.spans.select(*_KEYS, F.lit(False), F.lit(True))).groupBy(*_KEYS).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
 
-    def _related(self, op: str, a: Spanset, b: Spanset) -> tuple[DataFrame, bool]:
-        """The marks that the operator takes, and whether it walks."""
-        marks = self._marks(a, b)
-        if op not in (">>", "<<"):
-            return marks, False
-        # Walking needs all spans of the traces that have both sides, in the time range or not.
-        traces = structural.candidates(marks).select("trace_id")
-        if a.condition is not None and b.condition is not None and self.base is self.all:
-            yes = lambda c: F.coalesce(c, F.lit(False))
-            everything = self.base.select(*_KEYS, yes(a.condition).alias("a"), yes(b.condition).alias("b"))
-        else:
-            everything = self.all.select(*_KEYS).distinct().join(marks, _KEYS, "left").na.fill(False, ["a", "b"])
-        return everything.join(traces, "trace_id", "left_semi"), True
-
     def _whole(self, keys: DataFrame) -> DataFrame:
         return self.base.join(keys.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_semi")
 
@@ -188,11 +199,12 @@ def _sampled(spans: DataFrame, query: Query) -> DataFrame:
     if not isinstance(hint, Literal) or hint.kind not in ("int", "float"):
         return spans
     rate = hint.value / 100 if hint.kind == "int" else hint.value
-    return spans.where(F.pmod(F.xxhash64("trace_id"), F.lit(1_000_000)) < int(rate * 1_000_000)) if 0 < rate < 1 else spans
-
+    share = F.conv(F.substring(F.md5(F.col("trace_id").cast("binary")), 1, 8), 16, 10).cast("long")  # of 2**32
+    return spans.where(share < int(rate * (1 << 32))) if 0 < rate < 1 else spans
 
-def filter_condition(pipeline: Pipeline | None, fields: Fields) -> Column:
-    """All filters of a pipeline in one condition; other stages say nothing about single spans."""
-    found = [fields.predicate(s.expression) for s in (pipeline.stages if pipeline else ()) if isinstance(s, Filter) and s.expression is not None]
-    return reduce(lambda a, b: a & b, found, F.lit(True))
 
+def matching(spans: DataFrame, pipeline: Pipeline | None, fields: Fields, start_ns: int | None = None, end_ns: int | None = None, also: tuple = (), walk_limit: int = structural.WALK_LIMIT) -> DataFrame:
+    """The spans that a pipeline hands on, with what the expressions ``also`` refer to; of a single filter, one scan."""
+    query = Query(pipeline or Pipeline(()))
+    e = Evaluator(spans, query, fields, walk_limit, start_ns, end_ns, also)
+    return e.run(query.pipeline).spans if query.pipeline.stages else e.base

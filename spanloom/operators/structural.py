@@ -6,15 +6,18 @@ that stand in the relation to some left-hand span of their trace: trace_id, span
 
 Child, parent and sibling need no join of spans with spans: both sides are keyed by the id they must share, and one
 aggregation with partial sums tells which keys both sides reach.
+
+Descent and ascent take the spans of the traces that have both sides, with the traces' sizes, which the caller has written
+down already: so the plans are made without running anything twice.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import kept
+
 #: Traces of up to this many spans are walked within one row; larger ones by pointer doubling, a join for each doubling.
 WALK_LIMIT = 64
 
@@ -48,93 +51,69 @@ def sibling(marks: DataFrame) -> DataFrame:
 
 
 def candidates(marks: DataFrame) -> DataFrame:
-    """Traces with both an a and a b, and how many spans they have."""
+    """Traces with both an a and a b, and how many spans ``marks`` has of them."""
     return marks.groupBy("trace_id").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"), F.count("*").alias("n")).where("a and b").select("trace_id", "n")
 
 
-def descent(marks: DataFrame, walk_limit: int = WALK_LIMIT) -> DataFrame:
-    """b strictly below an a at any depth. ``marks`` holds all spans of the traces in question; cycles and repeated ids are harmless."""
-    traces = candidates(marks)
-    small = _walked(marks.join(traces.where(F.col("n") <= walk_limit).select("trace_id"), "trace_id", "left_semi"))
-    big_ids = traces.where(F.col("n") > walk_limit).select("trace_id")
-    if big_ids.isEmpty():
-        return small
-    return small.unionByName(_doubled(marks.join(big_ids, "trace_id", "left_semi")))
+def descent(marks: DataFrame, sizes: DataFrame, walk_limit: int = WALK_LIMIT) -> DataFrame:
+    """b strictly below an a at any depth. ``marks`` holds all spans of the traces in ``sizes`` (trace_id, n), a written table; cycles
+    and repeated ids are harmless."""
+    return _related(marks, sizes, walk_limit, "parent_span_id", "span_id")
+
+
+def ascent(marks: DataFrame, sizes: DataFrame, walk_limit: int = WALK_LIMIT) -> DataFrame:
+    """b strictly above an a: the same with the ends of each step exchanged."""
+    return _related(marks, sizes, walk_limit, "span_id", "parent_span_id")
+
 
+def _related(marks: DataFrame, sizes: DataFrame, walk_limit: int, start: str, end: str) -> DataFrame:
+    big = sizes.where(F.col("n") > walk_limit).select("trace_id")
+    any_big = bool(big.limit(1).count())
+    small = sizes.where(F.col("n") <= walk_limit).select("trace_id") if any_big else sizes.select("trace_id")
+    near = _walked(marks.join(small, "trace_id", "left_semi"), start, end)
+    return near.unionByName(_doubled(marks.join(big, "trace_id", "left_semi"), start, end)) if any_big else near
 
-def _walked(marks: DataFrame) -> DataFrame:
-    """The spans of a trace in one array, descended level by level from all a at once."""
+
+def _walked(marks: DataFrame, start: str, end: str) -> DataFrame:
+    """The spans of a trace in one array, walked step by step from all a at once until no new span is met."""
     rows = marks.groupBy("trace_id").agg(F.collect_list(F.struct("span_id", "parent_span_id", "a", "b")).alias("s"))
-    start = F.struct(F.transform(F.filter("s", lambda x: x["a"]), lambda x: x["span_id"]).alias("front"), F.array().cast("array<string>").alias("seen"))
+    first = F.transform(F.filter("s", lambda x: x["a"]), lambda x: x["span_id"])
+    state = F.struct(first.alias("front"), F.array().cast("array<string>").alias("seen"))
 
-    def level(acc: Column, _: Column) -> Column:
-        below = F.transform(F.filter(F.col("s"), lambda x: F.array_contains(acc["front"], x["parent_span_id"])), lambda x: x["span_id"])
-        return F.struct(F.array_except(below, acc["seen"]).alias("front"), F.array_union(acc["seen"], below).alias("seen"))
+    def step(acc: Column, _: Column) -> Column:
+        # Down, a span is reached if its parent is in front; up, the parents of those in front are, if they are in the trace or not.
+        met = F.transform(F.filter(F.col("s"), lambda x: F.array_contains(acc["front"], x[start])), lambda x: x[end])
+        further = F.struct(F.array_except(met, acc["seen"]).alias("front"), F.array_union(acc["seen"], met).alias("seen"))
+        return F.when(F.array_size(acc["front"]) == 0, acc).otherwise(further)
 
-    seen = F.aggregate(F.sequence(F.lit(1), F.array_size("s")), start, level, lambda acc: acc["seen"])
+    seen = F.aggregate(F.sequence(F.lit(1), F.array_size("s")), state, step, lambda acc: acc["seen"])
     hits = rows.withColumn("seen", seen).select("trace_id", F.explode(F.expr("filter(s, x -> x.b and array_contains(seen, x.span_id))")).alias("x"))
     return hits.select("trace_id", "x.span_id", "x.parent_span_id")
 
 
-def _doubled(marks: DataFrame) -> DataFrame:
-    """Every span points at an ancestor, twice as far each round, and knows whether it passed an a on the way.
+def _doubled(marks: DataFrame, start: str, end: str) -> DataFrame:
+    """Pointers from each span to an ancestor, twice as far each round; what is reached within that distance is doubled with them.
 
     Rounds are written to the shared folder, so plans stay short. They end when all pointers have left the trace, at the
     latest after log2 of the largest trace's size, which also ends cycles.
     """
-    spark = marks.sparkSession
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/' + spark.sparkContext.applicationId).rstrip('/')}/spanloom/descent-{uuid.uuid4().hex}"
+    steps = marks.select("trace_id", "span_id", "parent_span_id")
+    inside = marks.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
+    pointers = kept(steps.join(inside, ["trace_id", "parent_span_id"], "left_semi").select("trace_id", "span_id", "parent_span_id").distinct(), "pointers")
+    origin = marks.where("a").select("trace_id", F.col("span_id").alias("at"))
 
-    def kept(df: DataFrame, name: object) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+    def step(met: DataFrame) -> DataFrame:
+        return pointers.withColumnRenamed(start, "at").join(met, ["trace_id", "at"], "left_semi").select("trace_id", F.col(end).alias("at"))
 
-    ids = marks.groupBy("trace_id", "span_id").agg(F.bool_or("a").alias("is_a"))
-    up = marks.select("trace_id", "span_id", F.col("parent_span_id").alias("up")).distinct()
-    first = up.join(ids.select("trace_id", F.col("span_id").alias("up"), "is_a"), ["trace_id", "up"]).select("trace_id", "span_id", "up", F.col("is_a").alias("hit"))
-    state = kept(first, 0)
+    met = kept(step(origin).distinct(), "met")  # within one step
     most = marks.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    for k in range(1, most.bit_length() + 1):
-        further = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("hit").alias("hit2"))
-        both = state.join(further, ["trace_id", "up"], "left")
-        stepped = both.select("trace_id", "span_id", F.coalesce("up2", F.lit("")).alias("up"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit"))
-        state = kept(stepped.groupBy("trace_id", "span_id", "up").agg(F.bool_or("hit").alias("hit")), k)
-        if state.where("up <> ''").isEmpty():
+    for _ in range(most.bit_length()):
+        met = kept(met.union(step(met)).distinct(), "met")
+        far = pointers.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("parent_span_id").alias("far"))
+        pointers = kept(pointers.join(far, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.col("far").alias("parent_span_id")).distinct(), "pointers")
+        if not pointers.limit(1).count():
             break
-    hit = state.where("hit").select("trace_id", "span_id").distinct()
-    return marks.where("b").join(hit, ["trace_id", "span_id"], "left_semi").select("trace_id", "span_id", "parent_span_id")
-
-
-def ascent(marks: DataFrame, walk_limit: int = WALK_LIMIT) -> DataFrame:
-    """b strictly above an a: walk from all b down and keep those that reach an a, which is descent seen from below."""
-    traces = candidates(marks)
-    small_marks = marks.join(traces.where(F.col("n") <= walk_limit).select("trace_id"), "trace_id", "left_semi")
-    rows = small_marks.groupBy("trace_id").agg(F.collect_list(F.struct("span_id", "parent_span_id", "a", "b")).alias("s"))
-    start = F.struct(F.transform(F.filter("s", lambda x: x["a"]), lambda x: x["parent_span_id"]).alias("front"), F.array().cast("array<string>").alias("seen"))
-
-    def level(acc: Column, _: Column) -> Column:
-        above = F.transform(F.filter(F.col("s"), lambda x: F.array_contains(acc["front"], x["span_id"])), lambda x: x["parent_span_id"])
-        return F.struct(F.array_except(above, acc["seen"]).alias("front"), F.array_union(acc["seen"], acc["front"]).alias("seen"))
-
-    seen = F.aggregate(F.sequence(F.lit(1), F.array_size("s") + 1), start, level, lambda acc: acc["seen"])
-    hits = rows.withColumn("seen", seen).select("trace_id", F.explode(F.expr("filter(s, x -> x.b and array_contains(seen, x.span_id))")).alias("x"))
-    small = hits.select("trace_id", "x.span_id", "x.parent_span_id")
-    big_ids = traces.where(F.col("n") > walk_limit).select("trace_id")
-    if big_ids.isEmpty():
-        return small
-    return small.unionByName(_doubled_up(marks.join(big_ids, "trace_id", "left_semi")))
-
-
-def _doubled_up(marks: DataFrame) -> DataFrame:
-    """Ancestors of a spans among b: as many rounds as the traces are deep, each with the frontier of distinct parents."""
-    front = marks.where("a and parent_span_id <> ''").select("trace_id", F.col("parent_span_id").alias("span_id")).distinct()
-    seen = front.persist()
-    new = seen
-    while not new.isEmpty():
-        above = marks.join(new, ["trace_id", "span_id"]).where("parent_span_id <> ''").select("trace_id", F.col("parent_span_id").alias("span_id")).distinct()
-        new = above.join(seen, ["trace_id", "span_id"], "left_anti").persist()
-        seen = seen.union(new)
-    return marks.where("b").join(seen.distinct(), ["trace_id", "span_id"], "left_semi").select("trace_id", "span_id", "parent_span_id")
+    return marks.where("b").join(met.withColumnRenamed("at", "span_id"), ["trace_id", "span_id"], "left_semi").select("trace_id", "span_id", "parent_span_id")
 
 
 def traces(op: str, marks: DataFrame) -> DataFrame:

@@ -51,11 +51,15 @@ def merge_buckets(partials: DataFrame) -> DataFrame:
     return partials.groupBy(*keys).agg(F.sum(count).alias(count))
 
 
-def names_between(partials: DataFrame, start_ns: int, end_ns: int, limit: int = 1000) -> DataFrame:
-    """Distinct names in the buckets that the range touches, ascending."""
-    lo, hi = snap(start_ns, end_ns)
+def names_between(partials: DataFrame, start_ns: int | None = None, end_ns: int | None = None, limit: int | None = 1000) -> DataFrame:
+    """Distinct names in the buckets that the range touches, ascending; open ends are None."""
     name = partials.columns[1]
-    return partials.where((F.col("bucket_ns") >= lo) & (F.col("bucket_ns") < hi)).select(name).distinct().orderBy(name).limit(limit)
+    if start_ns is not None:
+        partials = partials.where(F.col("bucket_ns") >= snap(start_ns, start_ns)[0])
+    if end_ns is not None:
+        partials = partials.where(F.col("bucket_ns") < snap(end_ns, end_ns)[1])
+    out = partials.select(name).distinct().orderBy(name)
+    return out if limit is None else out.limit(limit)
 
 
 #: View to (partials of a batch of spans, merge of stored partials).

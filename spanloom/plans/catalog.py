@@ -1,37 +1,52 @@
 """The registered queries over spans derived from the order tables, and the DuckDB SQL that each is held against.
 
-An entry is (callable of session and folder, SQL or None). Only what SQL can't state the same way has none: sampling by
-hash, adaptive histograms.
+An entry is (callable of session and folder, SQL or None). Only what SQL can't state the same way has none: adaptive histograms.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import metrics as m
 from spanloom.operators import views
 from spanloom.plans.engine import Engine
-from spanloom.services import search, tags, traces
-from spanloom.sources.spans import ORDER_SPANS_SQL, order_spans
+from spanloom.plans.syntax import QueryError
+from spanloom.services import params, respond, search, tags, traces, wire
+from spanloom.sources.scratch import new_path
+from spanloom.sources.spans import ORDER_SPANS_SQL, SPAN_SCHEMA, order_spans, read_spans, write_spans
+from spanloom.streaming import views as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _held: dict[tuple[str, str], DataFrame] = {}
+_views: dict[tuple[str, str], str] = {}
 #: 1995-01-01 to 1996-12-31, in ns, and a step of thirty days.
 START, END, STEP = 788_918_400_000_000_000, 852_076_799_999_999_999, 30 * 86_400_000_000_000
 
 
 def span_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived spans, kept for the session: queries run against a store, not against its derivation."""
+    """The derived spans, written once for the session as a deployment would ingest them: queries read them from Parquet."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _held:
-        _held[key] = order_spans(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        path = new_path(spark, "spans")
+        write_spans(order_spans(spark, sf_dir), path)
+        _held[key] = read_spans(spark, path)
     return _held[key]
 
 
+def view_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived tables of these spans, written once for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _views:
+        path = new_path(spark, "views")
+        live.backfill(span_store(spark, sf_dir), path)
+        _views[key] = path
+    return {name: live.read_view(spark, _views[key], name) for name in views.VIEWS}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(span_store(spark, sf_dir))
 
@@ -180,7 +195,7 @@ _OUT |= {
     "agg_after_spanset": (_aggregates(f"({_A} && {_B}) | count()"), f"{WITH} SELECT trace_id, CAST(count(*) AS DOUBLE) AS agg_value FROM spans WHERE ({_SQL_A} OR {_SQL_B}) AND trace_id IN ({_IN} {_SQL_A} INTERSECT {_IN} {_SQL_B}) GROUP BY 1"),
     "select_attributes": (lambda spark, d: engine(spark, d).matching_spans("{ nestedSetParent < 0 && status = error } | select(.priority, name, resource.host.name)"), f"{WITH} SELECT trace_id, span_id, priority, name, host AS resource_host_name FROM spans WHERE parent_span_id = '' AND {_SQL_B}"),
     "matching_spans": (lambda spark, d: engine(spark, d).matching_spans(_B).select("trace_id", "span_id", "service", "duration_ns"), f"{WITH} SELECT trace_id, span_id, service, duration_ns FROM spans WHERE {_SQL_B}"),
-    "sampled_traces": (_ids("{ status = error } with(sample=0.5)"), None),
+    "sampled_traces": (_ids("{ status = error } with(sample=0.5)"), f"{WITH} {_IN} {_SQL_B} AND CAST('0x' || substr(md5(trace_id), 1, 8) AS BIGINT) < {1 << 31}"),
     "newest_traces": (lambda spark, d: engine(spark, d).newest(_B, limit=20), f"{WITH} SELECT trace_id, min(start_ns) AS start_ns FROM spans WHERE trace_id IN (SELECT trace_id FROM spans WHERE {_SQL_B}) GROUP BY 1 ORDER BY start_ns DESC, trace_id LIMIT 20"),
 }
 
@@ -238,6 +253,13 @@ _OUT |= {
     "metrics_count_range_plain": (_range("{ } | count_over_time()"), f"{WITH} SELECT {_TS}, CAST(count(*) AS DOUBLE) AS value FROM spans WHERE {_WHEN} GROUP BY 1"),
     "metrics_two_labels_range": (_range("{ status = error } | rate() by (kind, .returnflag)"), f"{WITH} SELECT {_TS}, kind AS label_kind, {_text('returnflag')} AS label_returnflag, round(count(*) / {STEP // 1_000_000_000}.0, 6) AS value FROM spans WHERE {_WHEN} AND {_SQL_B} GROUP BY 1, 2, 3"),
     "metrics_histogram_range": (_range("{ } | histogram_over_time(duration)"), f"{WITH} SELECT {_TS}, {_LE} AS le, CAST(count(*) AS DOUBLE) AS value FROM spans WHERE {_WHEN} GROUP BY 1, 2"),
+    "metrics_histogram_by": (_range("{ status = error } | histogram_over_time(duration) by (resource.service.name)"), f"{WITH} SELECT {_TS}, service AS label_resource_service_name, {_LE} AS le, CAST(count(*) AS DOUBLE) AS value FROM spans WHERE {_WHEN} AND {_SQL_B} GROUP BY 1, 2, 3"),
+    "metrics_after_structure": (_range(f"{_A} > {_B} | count_over_time() by (kind)"), _structure_sql(">", f"{_SQL_A} AND {_WHEN}", f"{_SQL_B} AND {_WHEN}") + f"SELECT {_TS.replace('start_ns', 'b.start_ns')}, b.kind AS label_kind, CAST(count(DISTINCT b.span_id) AS DOUBLE) AS value FROM a JOIN b ON a.trace_id = b.trace_id AND b.parent_span_id = a.span_id GROUP BY 1, 2"),
+    "metrics_after_descent": (_instant(f"{_A} >> {_B} | count_over_time()"), _structure_sql(">>", f"{_SQL_A} AND {_WHEN}", f"{_SQL_B} AND {_WHEN}") + "SELECT CAST(count(*) AS DOUBLE) AS value FROM b WHERE (trace_id, span_id) IN (SELECT trace_id, span_id FROM d)"),
+    "metrics_after_spanset_and": (_range(f"({_A} && {_B}) | count_over_time()"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN}) SELECT {_TS}, CAST(count(*) AS DOUBLE) AS value FROM s WHERE ({_SQL_A} OR {_SQL_B}) AND trace_id IN (SELECT trace_id FROM s WHERE {_SQL_A} INTERSECT SELECT trace_id FROM s WHERE {_SQL_B}) GROUP BY 1"),
+    "metrics_after_aggregate": (_range(f"{_B} | count() > 3 | count_over_time() by (status)"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN} AND {_SQL_B}) SELECT {_TS}, status AS label_status, CAST(count(*) AS DOUBLE) AS value FROM s WHERE trace_id IN (SELECT trace_id FROM s GROUP BY 1 HAVING count(*) > 3) GROUP BY 1, 2"),
+    "metrics_after_two_filters": (_range(f"{_A} | {_B} | avg_over_time(duration)"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN}) SELECT {_TS}, round(avg(duration_ns), 6) AS value FROM s WHERE {_SQL_B} AND trace_id IN (SELECT trace_id FROM s WHERE {_SQL_A}) GROUP BY 1"),
+    "metrics_summary_after_structure": (_summary(f"{_A} > {_B}", ()), _structure_sql(">") + f"SELECT {_SUMMARY} FROM b WHERE (trace_id, parent_span_id) IN (SELECT trace_id, span_id FROM a)"),
     "metrics_histogram_instant": (lambda spark, d: engine(spark, d).instant("{ } | histogram_over_time(duration)", START, END), None),
     "metrics_rate_per_second_instant": (_instant("{ } | rate()", per_second=True), f"{WITH} SELECT round(count(*) / {(END - START) // 1_000_000_000}.0, 6) AS value FROM spans WHERE {_WHEN}"),
     "metrics_topk_range": (_range("{ } | count_over_time() by (resource.service.name) | topk(3)"), _topk("DESC", 3)),
@@ -251,8 +273,8 @@ _OUT |= {
 # ---------------------------------------------------------------- discovery, search, traces, views
 
 
-def _search(spark: SparkSession, d: str) -> DataFrame:
-    found = search.search(engine(spark, d), "{ status = error }", limit=50, min_ms=100, max_ms=5000)
+def _search(spark: SparkSession, d: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    found = search.search(engine(spark, d), "{ status = error }", limit=50, min_ms=100, max_ms=5000, views=held)
     return found.select("traceID", "rootServiceName", "rootTraceName", "startTimeUnixNano", "durationMs", F.map_keys("serviceStats")[0].alias("first_service"), F.map_values("serviceStats")[0]["spanCount"].alias("first_count"), F.col("spanSets")[0]["matched"].alias("matched"), F.col("spanSets")[0]["spans"][0]["spanID"].alias("first_span"))
 
 
@@ -266,6 +288,19 @@ SELECT h.trace_id AS "traceID", h.root.service AS "rootServiceName", h.root.name
 FROM hit h"""
 
 
+def _search_matching(spark: SparkSession, d: str) -> DataFrame:
+    found = search.search(engine(spark, d), _B, START, END, limit=30, matching_only=True).select("traceID", F.col("spanSets")[0].alias("s"))
+    return found.select("traceID", F.col("s.matched").alias("matched"), F.array_size("s.spans").alias("listed"), F.col("s.spans")[0]["spanID"].alias("first_span"))
+
+
+_SEARCH_MATCHING = f"""{WITH}, {_FACTS}, m AS (SELECT * FROM spans WHERE {_SQL_B} AND start_ns BETWEEN {START} AND {END}),
+t AS (SELECT trace_id FROM facts WHERE trace_id IN (SELECT trace_id FROM m) ORDER BY start_ns DESC, trace_id LIMIT 30)
+SELECT trace_id AS "traceID", CAST(count(*) AS INTEGER) AS matched, CAST(least(count(*), 3) AS INTEGER) AS listed, arg_min(span_id, (start_ns, span_id)) AS first_span
+FROM m WHERE trace_id IN (SELECT trace_id FROM t) GROUP BY 1"""
+#: The range in whole buckets of the derived tables.
+_BUCKETS = f"start_ns >= {views.snap(START, END)[0]} AND start_ns < {views.snap(START, END)[1]}"
+
+
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     """The OTLP tree of a trace, one row for each span in it."""
     rows = traces.otlp_batches(traces.trace_spans(engine(spark, d), f"{7:032x}")).select(F.explode("batches").alias("b")).select("b", F.explode("b.scopeSpans").alias("c")).select("b", "c", F.explode("c.spans").alias("s"))
@@ -282,11 +317,8 @@ def _streamed(name: str) -> Query:
     """The view as a stream of files maintains it."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        from spanloom.sources.spans import SPAN_SCHEMA
-        from spanloom.streaming import views as live
-
-        base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/' + spark.sparkContext.applicationId).rstrip('/')}/spanloom/stream-{name}-{abs(hash(d))}"
-        span_store(spark, d).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SPAN_SCHEMA]).repartition(4).write.mode("overwrite").parquet(f"{base}/spans")
+        base = new_path(spark, f"stream-{name}")  # of its own for each call: files, views and checkpoint belong together
+        span_store(spark, d).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SPAN_SCHEMA]).repartition(4).write.parquet(f"{base}/spans")
         live.maintain(live.stream_spans(spark, f"{base}/spans", files_per_batch=2), f"{base}/views", f"{base}/checkpoint", once=True).awaitTermination()
         return live.read_view(spark, f"{base}/views", name)
 
@@ -302,11 +334,16 @@ _META = f"{WITH}, {_FACTS} SELECT trace_id, root.service AS root_service, root.n
 _SERVICES = f"{WITH} SELECT start_ns - start_ns % {views.BUCKET_NS} AS bucket_ns, service, count(*) AS span_count FROM spans GROUP BY 1, 2"
 _OUT |= {
     "search_traces": (_search, _SEARCH),
+    "search_traces_views": (lambda spark, d: _search(spark, d, view_store(spark, d)), _SEARCH),
+    "search_matching_spans": (_search_matching, _SEARCH_MATCHING),
+    "tag_names_views": (lambda spark, d: tags.tag_names(engine(spark, d), "all", START, END, views=view_store(spark, d)), f"{WITH}, t AS (SELECT 'span' AS scope, * FROM ({_tag_sql('span')}) UNION ALL SELECT 'resource', * FROM ({_tag_sql('resource')})) SELECT DISTINCT scope, tag FROM t WHERE {_BUCKETS} UNION SELECT 'intrinsic', unnest([" + ", ".join(f"'{t}'" for t in tags.INTRINSIC_TAGS) + "])"),
+    "service_names": (lambda spark, d: tags.service_names(engine(spark, d), START, END), f"{WITH} SELECT DISTINCT service FROM spans WHERE {_WHEN}"),
+    "service_names_views": (lambda spark, d: tags.service_names(engine(spark, d), START, END, views=view_store(spark, d)), f"{WITH} SELECT DISTINCT service FROM spans WHERE {_BUCKETS}"),
     "search_inspected": (lambda spark, d: search.inspected(engine(spark, d), _B), f'{WITH} SELECT count(DISTINCT trace_id) AS "inspectedTraces", count(*) AS "inspectedSpans" FROM spans WHERE trace_id IN (SELECT trace_id FROM spans WHERE {_SQL_B})'),
     "service_stats": (lambda spark, d: search.service_stats(span_store(spark, d)), f"{WITH} SELECT trace_id, service, count(*) AS span_count, count(*) FILTER (WHERE {_SQL_B}) AS error_count FROM spans GROUP BY 1, 2"),
     "trace_spans": (lambda spark, d: traces.trace_spans(engine(spark, d), f"{7:032x}").select("trace_id", "span_id", "parent_span_id", "start_ns", "duration_ns", "status"), f"{WITH} SELECT trace_id, span_id, parent_span_id, start_ns, duration_ns, status FROM spans WHERE trace_id = '{7:032x}'"),
     "trace_tree": (_tree, f"{WITH} SELECT service, scope_name AS scope, span_id, CASE kind WHEN 'SPAN_KIND_INTERNAL' THEN 1 WHEN 'SPAN_KIND_CLIENT' THEN 2 ELSE 3 END AS kind, CAST(start_ns AS VARCHAR) AS start, CASE status WHEN 'STATUS_CODE_OK' THEN 1 WHEN 'STATUS_CODE_ERROR' THEN 2 ELSE 0 END AS code, CAST(CASE WHEN discount IS NULL THEN 3 ELSE 4 END AS INTEGER) AS n_attributes FROM spans WHERE trace_id = '{7:032x}'"),
-    "spans_of_traces": (lambda spark, d: traces.spans_of(engine(spark, d), engine(spark, d).trace_ids("{ duration > 4s }")).select("trace_id", "span_id"), f"{WITH} SELECT trace_id, span_id FROM spans WHERE trace_id IN (SELECT trace_id FROM spans WHERE duration_ns > 4000000000)"),
+    "spans_of_traces": (lambda spark, d: traces.spans_of(engine(spark, d), engine(spark, d).trace_ids("{ duration > 4s }")).select("trace_id", "span_id"), f"{WITH}, hit AS (SELECT trace_id, span_id, bool_or(duration_ns > 4000000000) OVER (PARTITION BY trace_id) AS yes FROM spans) SELECT trace_id, span_id FROM hit WHERE yes"),
     "tag_names_span": (lambda spark, d: tags.tag_names(engine(spark, d), "span"), f"{WITH}, t AS ({_tag_sql('span')}) SELECT DISTINCT 'span' AS scope, tag FROM t"),
     "tag_names_resource": (lambda spark, d: tags.tag_names(engine(spark, d), "resource"), f"{WITH}, t AS ({_tag_sql('resource')}) SELECT DISTINCT 'resource' AS scope, tag FROM t"),
     "tag_names_intrinsic": (lambda spark, d: tags.tag_names(engine(spark, d), "intrinsic"), "SELECT 'intrinsic' AS scope, unnest([" + ", ".join(f"'{t}'" for t in tags.INTRINSIC_TAGS) + "]) AS tag"),
@@ -315,6 +352,7 @@ _OUT |= {
     "tag_values_scoped": (lambda spark, d: tags.tag_values(engine(spark, d), "span.http.method"), f"{WITH} SELECT DISTINCT http_method AS value FROM spans WHERE http_method <> ''"),
     "tag_values_service": (lambda spark, d: tags.tag_values(engine(spark, d), "service.name"), f"{WITH} SELECT DISTINCT service AS value FROM spans"),
     "tag_values_filtered": (lambda spark, d: tags.tag_values(engine(spark, d), "quantity", "{ status = error && duration > 900ms }"), f"{WITH} SELECT DISTINCT quantity AS value FROM spans WHERE quantity <> '' AND {_SQL_B} AND duration_ns > 900000000"),
+    "tag_values_after_structure": (lambda spark, d: tags.tag_values(engine(spark, d), "quantity", f"{_A} > {_B}"), _structure_sql(">") + "SELECT DISTINCT quantity AS value FROM b WHERE quantity <> '' AND (trace_id, parent_span_id) IN (SELECT trace_id, span_id FROM a)"),
     "tag_values_status": (lambda spark, d: tags.tag_values(engine(spark, d), "status"), "SELECT unnest(['error', 'ok', 'unset']) AS value"),
     "view_trace_metadata": (_view("trace_metadata"), _META),
     "view_span_tag_names": (_view("span_tag_names"), f"{WITH}, t AS ({_tag_sql('span')}) SELECT start_ns - start_ns % {views.BUCKET_NS} AS bucket_ns, tag, count(*) AS count FROM t GROUP BY 1, 2"),
@@ -325,6 +363,104 @@ _OUT |= {
     "stream_service_names": (_streamed("service_names"), _SERVICES),
 }
 
+# ---------------------------------------------------------------- requests and answers
+
+
+def _rows(schema: str, make: Callable[[SparkSession, str], list[tuple]]) -> Query:
+    """What a service gives as text or bytes, as rows."""
+    return lambda spark, d: spark.createDataFrame(make(spark, d), schema)
+
+
+_TRACE = f"{7:032x}"
+_STEPS = [(0, 10), (0, 3_600), (100, 86_500), (5, 1_000_005)]
+_LIMITS = [-1, 0, 1, 20, 99, 100, 101, 5000]
+_IDS = ["0AF7651916CD43DD8448EB211C80319C", "0af76519-16cd-43dd-8448-eb211c80319c", "00F067AA0BA902B7"]
+_TIMES = [("1700000000", "1700003600"), ("2024-01-02T03:04:05Z", "2024-01-02T05:04:05+01:00"), ("1999-12-31T23:59:59.5Z", "2000-01-01T00:00:00Z")]
+
+
+def _tree_counts(trace: dict) -> list[tuple]:
+    """(service, scope, spans) of a trace's JSON."""
+    service = lambda b: next(a["value"]["stringValue"] for a in b["resource"]["attributes"] if a["key"] == "service.name")
+    return [(service(b), c["scope"]["name"], len(c["spans"])) for b in trace["batches"] for c in b["scopeSpans"]]
+
+
+def _fields_of(raw: bytes) -> list[tuple[int, bytes | int]]:
+    """Field numbers and values of a protocol buffer message."""
+    out, at = [], 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = raw[at]
+            at, n, shift = at + 1, n | (byte & 0x7F) << shift, shift + 7
+            if byte < 0x80:
+                return n
+
+    while at < len(raw):
+        key = varint()
+        n = {0: 0, 1: 8}.get(key & 7)
+        if n == 0:
+            out.append((key >> 3, varint()))
+            continue
+        n = varint() if n is None else n
+        out.append((key >> 3, raw[at : at + n]))
+        at += n
+    return out
+
+
+def _wire_spans(spark: SparkSession, d: str) -> list[tuple]:
+    """(span id, name, start) of a trace, read back from its protocol buffer."""
+    raw = wire.trace_message(json.loads(traces.trace_json(engine(spark, d), _TRACE)))
+    spans = [dict(_fields_of(s)) for _, b in _fields_of(raw) for n, c in _fields_of(b) if n == 2 for m, s in _fields_of(c) if m == 2]
+    return [(s[2].hex(), s[5].decode(), int.from_bytes(s[7], "little")) for s in spans]
+
+
+def _overview(spark: SparkSession, d: str) -> list[tuple]:
+    o = traces.trace_overview(engine(spark, d), _TRACE, first=2)
+    return [(o["spans"], o["errors"], ",".join(o["services"]), o["root"], o["duration_ms"], o["truncated"], len(o["first"]))]
+
+
+def _found(spark: SparkSession, d: str) -> list[tuple]:
+    out = json.loads(respond.search_response(engine(spark, d), _B, START, END, 10))
+    return [(t["traceID"], t["startTimeUnixNano"], out["metrics"]["inspectedTraces"], out["metrics"]["inspectedSpans"]) for t in out["traces"]]
+
+
+def _ranged(spark: SparkSession, d: str) -> list[tuple]:
+    out = json.loads(respond.range_response(engine(spark, d), f"{_B} | count_over_time() by (kind)", START, END, str(STEP // 1_000_000_000)))
+    return [(s["labels"]["kind"], len(s["samples"]), float(sum(x["value"] for x in s["samples"]))) for s in out["series"]]
+
+
+def _refused(text: str, call: Callable[[], object]) -> tuple:
+    try:
+        call()
+    except QueryError as e:
+        return text, list(json.loads(respond.error(e)))[0]
+    return text, ""
+
+
+def _values(rows: list) -> str:
+    return ", ".join(f"({', '.join(map(repr, r))})" if isinstance(r, tuple) else f"({r!r})" for r in rows)
+
+
+_TREE_SQL = f"{WITH} SELECT service, scope_name AS scope, count(*) AS spans FROM spans WHERE trace_id = '{_TRACE}' GROUP BY 1, 2"
+_BAD = {"no such stage": "{ } | nothing()", "open brace": "{ status = error", "no metric": "{ }"}
+_OUT |= {
+    "trace_json_v1": (_rows("service string, scope string, spans long", lambda spark, d: _tree_counts(json.loads(traces.trace_json(engine(spark, d), _TRACE)))), _TREE_SQL),
+    "trace_json_v2": (_rows("service string, scope string, spans long", lambda spark, d: _tree_counts(json.loads(traces.trace_json(engine(spark, d), _TRACE, v2=True))["trace"])), _TREE_SQL),
+    "trace_protobuf": (_rows("span_id string, name string, start_ns long", _wire_spans), f"{WITH} SELECT span_id, name, start_ns FROM spans WHERE trace_id = '{_TRACE}'"),
+    "trace_overview": (_rows("spans long, errors long, services string, root string, duration_ms long, truncated boolean, listed long", _overview), f"{WITH} SELECT count(*) AS spans, count(*) FILTER (WHERE {_SQL_B}) AS errors, string_agg(DISTINCT service, ',' ORDER BY service) AS services, arg_min(name, (CASE WHEN parent_span_id = '' THEN 0 ELSE 1 END, start_ns, span_id)) AS root, (max(start_ns + duration_ns) - min(start_ns)) // 1000000 AS duration_ms, count(*) > 2 AS truncated, least(count(*), 2) AS listed FROM spans WHERE trace_id = '{_TRACE}'"),
+    "search_json": (_rows("traceID string, start string, traces long, spans long", _found), f"{WITH}, {_FACTS}, s AS (SELECT * FROM spans WHERE {_WHEN}), m AS (SELECT DISTINCT trace_id FROM s WHERE {_SQL_B}) SELECT trace_id AS \"traceID\", CAST(start_ns AS VARCHAR) AS start, (SELECT count(*) FROM m) AS traces, (SELECT count(*) FROM s WHERE trace_id IN (SELECT trace_id FROM m)) AS spans FROM facts WHERE trace_id IN (SELECT trace_id FROM m) ORDER BY start_ns DESC, trace_id LIMIT 10"),
+    "range_json": (_rows("kind string, samples long, total double", _ranged), f"{WITH}, v AS (SELECT {_TS}, kind, count(*) AS n FROM spans WHERE {_WHEN} AND {_SQL_B} GROUP BY 1, 2) SELECT kind, count(*) AS samples, CAST(sum(n) AS DOUBLE) AS total FROM v GROUP BY kind"),
+    "errors_json": (_rows("request string, key string", lambda spark, d: [_refused(k, lambda q=q: engine(spark, d).instant(q)) for k, q in _BAD.items()]), f"SELECT request, 'error' AS key FROM (VALUES {_values(list(_BAD))}) t(request)"),
+    "steps": (_rows("first long, last long, step_ns long", lambda spark, d: [(a, b, params.step(None, a * 10**9, b * 10**9)) for a, b in _STEPS]), f"SELECT CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last, greatest(1, (b - a) // 100)::BIGINT * 1000000000 AS step_ns FROM (VALUES {_values(_STEPS)}) t(a, b)"),
+    "limits": (_rows("asked long, given long", lambda spark, d: [(n, params.limit(n)) for n in _LIMITS]), f"SELECT CAST(n AS BIGINT) AS asked, CAST(CASE WHEN n <= 0 THEN 20 ELSE least(n, 100) END AS BIGINT) AS given FROM (VALUES {_values(_LIMITS)}) t(n)"),
+    "ids": (_rows("asked string, given string", lambda spark, d: [(t, params.trace_id(t)) for t in _IDS]), f"SELECT t AS asked, lower(replace(t, '-', '')) AS given FROM (VALUES {_values(_IDS)}) v(t)"),
+    "time_ranges": (_rows("asked string, first_ns long, last_ns long", lambda spark, d: [(a, *params.time_range(a, b)) for a, b in _TIMES]), "WITH t(a, b) AS (VALUES " + _values(_TIMES) + "), p AS (SELECT a, CASE WHEN regexp_full_match(a, '[0-9]+') THEN TRY_CAST(a AS BIGINT) * 1000000000 ELSE epoch_us(TRY_CAST(a AS TIMESTAMPTZ)) * 1000 END AS x, CASE WHEN regexp_full_match(b, '[0-9]+') THEN TRY_CAST(b AS BIGINT) * 1000000000 ELSE epoch_us(TRY_CAST(b AS TIMESTAMPTZ)) * 1000 END AS y FROM t) SELECT a AS asked, CAST(x AS BIGINT) AS first_ns, CAST(y AS BIGINT) AS last_ns FROM p"),
+    "spans_by_date": (lambda spark, d: span_store(spark, d).groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("spans")), f"{WITH} SELECT CAST(CAST(make_timestamp(start_ns // 1000) AS DATE) AS VARCHAR) AS day, count(*) AS spans FROM spans GROUP BY 1"),
+    "windowed_counts": (lambda spark, d: live.windowed_counts(span_store(spark, d)).select(F.unix_seconds("window_start").alias("window_start"), "service", "span_count"), f"{WITH} SELECT CAST(start_ns // 300000000000 * 300 AS BIGINT) AS window_start, service, count(*) AS span_count FROM spans GROUP BY 1, 2"),
+}
+
 
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _OUT.items()}

@@ -1,4 +1,4 @@
-"""Answers as JSON, in the shapes that trace clients expect. Rows are few by then: limits have been applied."""
+"""Answers as JSON, in the shapes that trace clients expect. Limits have been applied by then; a range answer is refused where it has too many series."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.metrics import series
 from spanloom.plans.engine import Engine
+from spanloom.plans.syntax import QueryError
 from spanloom.services import params, search, tags
 
 
@@ -48,9 +49,13 @@ def tag_values(engine: Engine, name: str, filter_query: str = "", start_ns: int
     return json.dumps({"tagValues": [{"type": "string", "value": v} for v in values] if v2 else values})
 
 
-def range_response(engine: Engine, text: str, start_ns: int, end_ns: int, step: str | None = None) -> str:
+def range_response(engine: Engine, text: str, start_ns: int, end_ns: int, step: str | None = None, most_series: int = 10_000) -> str:
+    """More than ``most_series`` series are an error, not a part of the answer: such a query should group by less or end in topk."""
     rows = series(engine.range(text, start_ns, end_ns, params.step(step, start_ns, end_ns)))
-    return json.dumps({"series": [{"labels": r.get("labels", {}), "promLabels": r["prom_labels"], "samples": [{"timestampMs": str(s["timestampMs"]), "value": s["value"]} for s in r["samples"]]} for r in _rows(rows)]})
+    found = _rows(rows.limit(most_series + 1))
+    if len(found) > most_series:
+        raise QueryError(f"the answer has more than {most_series} series")
+    return json.dumps({"series": [{"labels": r.get("labels", {}), "promLabels": r["prom_labels"], "samples": [{"timestampMs": str(s["timestampMs"]), "value": s["value"]} for s in r["samples"]]} for r in found]})
 
 
 def instant_response(engine: Engine, text: str, start_ns: int, end_ns: int, limit: int = 100) -> str:

@@ -1,7 +1,8 @@
 """Derived relations from a stream of spans.
 
 ``maintain`` appends each micro-batch's partial aggregates, tagged by batch id: no state is kept between batches, late spans
-need no watermark, and a batch that is retried replaces its own files, so each span counts once. ``windowed_counts`` is
+need no watermark, and a batch that is retried replaces its own files, so each span counts once. Views and checkpoint belong
+together: a stream that starts from a new checkpoint reads all files again and needs an empty folder for its views. ``windowed_counts`` is
 the stateful form for consumers that want finished windows.
 """
 
@@ -37,9 +38,16 @@ def maintain(stream: DataFrame, out: str, checkpoint: str, once: bool = False) -
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def backfill(spans: DataFrame, out: str) -> None:
-    """Partials of spans that were there before the stream, as a batch of their own."""
+def backfill(spans: DataFrame, out: str) -> bool:
+    """Partials of spans that were there before the stream, as a batch of their own; False, and nothing is done, where ``out`` has views
+    already. The stream must then begin with files that hold none of these spans."""
+    spark = spans.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")) for name in VIEWS):
+        return False
     write_partials(spans, -1, out)
+    return True
 
 
 def read_view(spark: SparkSession, out: str, name: str) -> DataFrame:

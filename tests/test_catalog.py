@@ -31,7 +31,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_only_known_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"sampled_traces", "metrics_histogram_instant"}
+    assert set(QUERIES) - set(SQL) == {"metrics_histogram_instant"}
 
 
 def test_entry_point_names():
@@ -39,3 +39,22 @@ def test_entry_point_names():
 
     assert set(QUERIES) <= set(e.queries()) and set(SQL) <= set(e.oracle_sql())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_streams_twice(spark):
+    """A second call in the same session gives the same answer."""
+    total = lambda: QUERIES["stream_service_names"](spark, DATA).groupBy().sum("span_count").first()[0]
+    assert total() == total() == catalog.span_store(spark, DATA).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_instant_histogram_holds_all_spans(spark):
+    """Adaptive bins: at most ten, ascending, within the values, holding every span."""
+    from pyspark.sql import functions as F
+
+    bins = QUERIES["metrics_histogram_instant"](spark, DATA).first().value
+    spans = catalog.span_store(spark, DATA).where(F.col("start_ns").between(catalog.START, catalog.END))
+    n, least, most = spans.agg(F.count("*"), F.min("duration_ns"), F.max("duration_ns")).first()
+    assert len(bins) <= 10 and sum(b.y for b in bins) == n
+    assert [b.x for b in bins] == sorted(b.x for b in bins) and least <= bins[0].x and bins[-1].x <= most

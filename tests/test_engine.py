@@ -203,11 +203,58 @@ def test_structure_against_brute_force(spark, op, limit):
         pytest.skip("only walking has a limit")
     rows = random_traces(11)
     marks = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, a boolean, b boolean")
-    args = (limit,) if op in (">>", "<<") else ()
+    args = (structural.candidates(marks), limit) if op in (">>", "<<") else ()
     got = {tuple(r) for r in structural.RELATIONS[op](marks, *args).collect()}
     assert got == brute(rows, op)
 
 
+@pytest.mark.parametrize(("op", "ends"), [(">>", ("0", "600")), ("<<", ("600", "0")), (">>", ("600", "0"))])
+def test_deep_chain(spark, op, ends):
+    """A trace of 601 spans in a line, in rounds that double the distance."""
+    rows = [("t", str(i), str(i - 1) if i else "", str(i) == ends[0], str(i) == ends[1]) for i in range(601)]
+    marks = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, a boolean, b boolean")
+    got = structural.RELATIONS[op](marks, structural.candidates(marks), 64).collect()
+    assert [r.span_id for r in got] == ([ends[1]] if (op, ends) != (">>", ("600", "0")) else [])
+
+
+def test_quantiles(spark):
+    """Exact, for groups with nulls, negative values, ties and nothing at all."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, 7.0, rng.uniform(-5, 5), rng.uniform(0, 1e9)])) for _ in range(900)] + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.13, 0.5, 0.99, 1.0]
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    got = {r.g: r.q for r in metrics.quantiles(df, ["g"], "x", shares).collect()}
+    assert set(got) == set(want)
+    for g, q in want.items():
+        assert got[g] == [None] * 5 if q is None else got[g] == pytest.approx(q, rel=1e-12), g
+    whole = metrics.quantiles(df, [], "x", [0.5]).first().q[0]
+    assert whole == pytest.approx(df.agg(F.percentile("x", 0.5)).first()[0], rel=1e-12)
+
+
+def test_metrics_take_whole_pipelines(engine):
+    """No stage is passed over: counts are those of the matching spans."""
+    for text in ('{ resource.service.name = "frontend" } >> { status = error }', "{ status = error } | count() > 1", '({ kind = client } && { status = error }) | { kind = server }', "{ kind = client } || { status = error }"):
+        n = engine.matching_spans(text).count()
+        assert [r.value for r in engine.instant(f"{text} | count_over_time()").collect()] == ([float(n)] if n else [0.0]), text
+        assert engine.summary(text).first().span_count == n
+
+
+def test_backfill_only_where_nothing_is(spark, engine, tmp_path):
+    from spanloom.streaming import views as live
+
+    out = str(tmp_path / "views")
+    assert live.backfill(engine.spans, out) and not live.backfill(engine.spans, out)
+    assert live.read_view(spark, out, "service_names").groupBy().sum("span_count").first()[0] == 26
+
+
+def test_names_must_match_whole(engine):
+    for bad in ("a\n", "1a", "a-b", ""):
+        with pytest.raises(QueryError):
+            tags.tag_values(engine, bad)
+    assert tags.tag_names(engine, "span", limit=3).count() == 3 and tags.tag_names(engine, "span", limit=None).count() > 3
+
+
 def test_params():
     assert params.trace_id("AAAA-" + "a" * 28) == "a" * 32
     assert params.moment("2025-01-15T10:00:00Z") == params.moment("1736935200") == 1736935200 * 10**9
