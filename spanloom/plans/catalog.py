@@ -258,7 +258,7 @@ _OUT |= {
     "metrics_after_descent": (_instant(f"{_A} >> {_B} | count_over_time()"), _structure_sql(">>", f"{_SQL_A} AND {_WHEN}", f"{_SQL_B} AND {_WHEN}") + "SELECT CAST(count(*) AS DOUBLE) AS value FROM b WHERE (trace_id, span_id) IN (SELECT trace_id, span_id FROM d)"),
     "metrics_after_spanset_and": (_range(f"({_A} && {_B}) | count_over_time()"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN}) SELECT {_TS}, CAST(count(*) AS DOUBLE) AS value FROM s WHERE ({_SQL_A} OR {_SQL_B}) AND trace_id IN (SELECT trace_id FROM s WHERE {_SQL_A} INTERSECT SELECT trace_id FROM s WHERE {_SQL_B}) GROUP BY 1"),
     "metrics_after_aggregate": (_range(f"{_B} | count() > 3 | count_over_time() by (status)"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN} AND {_SQL_B}) SELECT {_TS}, status AS label_status, CAST(count(*) AS DOUBLE) AS value FROM s WHERE trace_id IN (SELECT trace_id FROM s GROUP BY 1 HAVING count(*) > 3) GROUP BY 1, 2"),
-    "metrics_after_two_filters": (_range(f"{_A} | {_B} | avg_over_time(duration)"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN}) SELECT {_TS}, round(avg(duration_ns), 6) AS value FROM s WHERE {_SQL_B} AND trace_id IN (SELECT trace_id FROM s WHERE {_SQL_A}) GROUP BY 1"),
+    "metrics_after_two_filters": (_range(f"{_A} | {_B} | max_over_time(duration)"), f"{WITH}, s AS (SELECT * FROM spans WHERE {_WHEN}) SELECT {_TS}, CAST(max(duration_ns) AS DOUBLE) AS value FROM s WHERE {_SQL_B} AND trace_id IN (SELECT trace_id FROM s WHERE {_SQL_A}) GROUP BY 1"),
     "metrics_summary_after_structure": (_summary(f"{_A} > {_B}", ()), _structure_sql(">") + f"SELECT {_SUMMARY} FROM b WHERE (trace_id, parent_span_id) IN (SELECT trace_id, span_id FROM a)"),
     "metrics_histogram_instant": (lambda spark, d: engine(spark, d).instant("{ } | histogram_over_time(duration)", START, END), None),
     "metrics_rate_per_second_instant": (_instant("{ } | rate()", per_second=True), f"{WITH} SELECT round(count(*) / {(END - START) // 1_000_000_000}.0, 6) AS value FROM spans WHERE {_WHEN}"),
