@@ -6,9 +6,7 @@ Nothing here keeps state that grows with the data on the driver. Intermediate re
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,46 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words are runs of anything but these ASCII white space characters.
-WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
-_MASK64 = (1 << 64) - 1
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; only where all run on this machine, as in tests, it may be a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (folder or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
+from spanloom.sources.scratch import kept as table
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # the session has already ended
-            return
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to the shared folder and read again: cuts the lineage and runs its plan once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_MASK64 = (1 << 64) - 1
 
 
 def release(spark: SparkSession) -> None:

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_schema, map_arrow, new_path, record_batch, release, spread_join, tune
+from spanloom.llm.common import arrow_schema, map_arrow, record_batch, release, spread_join, tune
 from spanloom.llm.ranges import range_parts
 from spanloom.llm.tokens import encoder, id_bytes, packed
+from spanloom.sources.scratch import new_path
 
 BLOCK = "part long, block int, first_id long, last_id long, dict_hash string, ids array<long>, ends array<long>, counts array<long>, n_ids long, payload binary"
 

@@ -66,6 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert": op10_hilbert,
 }
 
-#: None of the ten is plain SQL (tokenizers, rolling hashes, fitted models, a space-filling curve); tests/llm checks them
+#: The others are no plain SQL (tokenizers, rolling hashes, CRC-32, fitted models, a space-filling curve); tests/llm checks them
 #: against brute force, exact round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_templates": line_templates.DIGESTS_SQL}
