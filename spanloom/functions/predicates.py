@@ -177,7 +177,7 @@ class Fields:
 
     def cell(self, of, column: str) -> Column:
         """A column of the span, or of its parent."""
-        return F.col("_parent")[column] if of.parent else F.col(column)
+        return F.col(f"_parent_{column}") if of.parent else F.col(column)
 
     def text_of(self, a: Attribute) -> Column:
         """An attribute as text, '' if missing; without a scope the span's before the resource's."""

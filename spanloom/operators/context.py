@@ -23,10 +23,12 @@ def trace_facts(spans: DataFrame) -> DataFrame:
 
 
 def enrich(spans: DataFrame, all_spans: DataFrame, needs: set[str]) -> DataFrame:
-    """``spans`` with ``_parent``, trace facts or ``child_count`` as far as needed, computed over ``all_spans``."""
+    """``spans`` with ``_parent_*``, trace facts or ``child_count`` as far as needed, computed over ``all_spans``."""
     if "parent" in needs:
-        kept = ["name", "kind", "service", "resource_attributes", "span_attributes", "start_ns", "duration_ns", "status", "status_message", "scope_name", "scope_version", "parent_span_id", "span_id", "trace_id"]
-        parents = all_spans.dropDuplicates(["trace_id", "span_id"]).select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_span"), F.struct(*kept).alias("_parent"))
+        # A column for each of the parent's: those that nobody refers to are neither read nor aggregated.
+        kept = ["name", "kind", "service", "resource_attributes", "span_attributes", "start_ns", "duration_ns", "status", "status_message", "scope_name", "scope_version", "parent_span_id"]
+        parents = all_spans.groupBy(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_span")).agg(*[F.first(c).alias(f"_parent_{c}") for c in kept])
+        parents = parents.withColumns({"_parent_trace_id": F.col("_trace"), "_parent_span_id": F.col("_span")})
         spans = spans.join(parents, (spans.trace_id == parents._trace) & (spans.parent_span_id == parents._span), "left").drop("_trace", "_span")
     if "trace" in needs:
         spans = spans.join(trace_facts(all_spans).select("trace_id", "root_service", "root_name", "trace_duration_ns"), "trace_id")
