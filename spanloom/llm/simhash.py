@@ -203,13 +203,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null ids keep their row and never name a component unless nothing else is in it.
     """
-    fps = table(fingerprints(docs, id_col, text_col, width), "simhash")
+    return fingerprint_groups(table(fingerprints(docs, id_col, text_col, width), "simhash"), bits)
+
+
+def fingerprint_groups(fps: DataFrame, bits: int = 2) -> DataFrame:
+    """doc_id, fp to doc_id, fp, component_id (the smallest id reachable over links)."""
     nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(nodes, bits)).withColumnRenamed("node", "fp")
     roots = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = table(spread_join(roots.select("fp", "root"), least, ["root"]).select("fp", "component_id"), "simhash-classes")
-    release(docs.sparkSession)
+    release(fps.sparkSession)
     return spread_join(fps, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
@@ -265,8 +269,8 @@ def common_shingles(texts: DataFrame, width: int, sample_docs: int = 20_000, mos
 
 
 def text_features(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, content (hash of the words), n (distinct shingles), sketch, prefix (rarest shingles first); blank texts are left out."""
-    ddl = "doc_id long, content long, n int, sketch binary, prefix binary"
+    """doc_id, content (hash of the words), fp (of the same shingles), n (distinct shingles), sketch, prefix (rarest shingles first); blank texts are left out."""
+    ddl = "doc_id long, content long, fp long, n int, sketch binary, prefix binary"
     schema = arrow_schema(ddl)
     common = common_shingles(texts, width)
     by_value = np.argsort(common)
@@ -285,7 +289,7 @@ def text_features(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                         at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                         rank = np.where(values[at] == s, by_value[at] + 1, 0)
                     first = s[np.lexsort((s, rank))][: prefix_length(len(s), similarity)]
-                    rows.append((doc_id, content, len(s), sketch(s), first.tobytes()))
+                    rows.append((doc_id, content, fingerprint(text, width), len(s), sketch(s), first.tobytes()))
             if rows:
                 yield record_batch(schema, *zip(*rows, strict=True))
 
@@ -323,7 +327,9 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int
     own = table(spread_join(texts, wanted, ["doc_id"]).where("trim(text) <> ''").distinct(), "near-texts")
     side = lambda c: own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     both = spread_join(spread_join(near, side("u"), ["u"]), side("v"), ["v"]).select("u", "v", "tu", "tv")
-    return table(map_arrow(both, exact, ddl).distinct(), "close")
+    close = table(map_arrow(both, exact, ddl).distinct(), "close")
+    release(nodes.sparkSession)
+    return close
 
 
 def list_pairs(key: list[np.ndarray], node: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, block: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -375,19 +381,39 @@ def member_pairs(members: DataFrame, similarity: float, block_rows: int = 1000)
     return dealt.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1").mapInArrow(run, ddl).distinct()
 
 
+def fingerprint_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) at ``similarity`` or above of a node and the smallest one of its component by fingerprints."""
+    groups = fingerprint_groups(nodes.select(F.col("node").alias("doc_id"), "fp"))
+    pairs = table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "simhash-pairs")
+    return close_pairs(pairs, nodes, texts, width, similarity)
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose roots (node, root) differ."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: near-duplicates by ``width``-word shingles, for documents with an id and a word.
 
-    Exact: all pairs at ``similarity`` or above are connected, and no others. In one order of all shingles, the rare ones
-    first, such a pair shares one of the first fifth of either set (prefix filter), so these are the postings. First each
-    posting's members are compared with its first and its most copied one, which joins large groups without their square.
-    Then all members that are still in different groups are compared with each other, long postings in pairs of blocks; sizes
-    and places of the shared shingle rule most pairs out. Pairs are verified by their shingle sets. Equal texts are one node.
+    Exact: all pairs at ``similarity`` or above are connected, and no others. Fingerprints over the same shingles are linked by the
+    byte-position index, as in ``simhash_groups``; each member is compared with the smallest of its component, and what this joins
+    is not compared again. The index guarantees 2 differing bits, which pairs at ``similarity`` often exceed, so the rest is found exactly:
+    in one order of all shingles, the rare ones first, such a pair shares one of the first fifth of either set (prefix filter), so
+    these are the postings. First each posting's members are compared with its first and its most copied one, which joins large
+    groups without their square. Then all members that are still in different groups are compared with each other, long postings in
+    pairs of blocks; sizes and places of the shared shingle rule most pairs out. All pairs are verified by their shingle sets. Equal texts are one node.
     """
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
-    f = table(text_features(texts, width, similarity), "features")
+    wide = table(text_features(texts, width, similarity), "features")
     one = lambda c: F.min(c).alias(c)
-    nodes = table(f.groupBy("content").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), one("n"), one("sketch"), one("prefix")), "nodes")
+    nodes = table(wide.groupBy("content").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), one("fp"), one("n"), one("sketch"), one("prefix")), "nodes")
+    f = table(wide.select("doc_id", "content"), "contents")
+    release(docs.sparkSession)
+    alike = fingerprint_links(nodes, texts, width, similarity)
+    joined = table(components(alike), "simhash-roots")
     ddl = "key long, node long, copies long, n int, at int"
     out = arrow_schema(ddl)
 
@@ -404,7 +430,8 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     members = table(spread_join(posts.select("key", "node", "n", "at"), heads, ["key"]), "members")
     release(docs.sparkSession)
     pairs = members.select("node", F.explode(F.array("a", "c")).alias("to")).where("node <> to").select(F.greatest("node", "to").alias("u"), F.least("node", "to").alias("v")).distinct()
-    first = table(components(close_pairs(table(pairs, "pairs"), nodes, texts, width, similarity)), "first-roots")
+    pairs = table(apart(pairs, joined), "pairs")
+    first = table(components(close_pairs(pairs, nodes, texts, width, similarity).union(alike)), "first-roots")
     rest = spread_join(members.where("m > 2").select("key", "node", "n", "at", "m"), first, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     pairs = table(member_pairs(spread_join(rest, table(mixed, "mixed"), ["key"]), similarity), "member-pairs")

@@ -176,6 +176,32 @@ def test_near_groups(docs, rows):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {k for k, v in got.items() if k != v}
 
 
+def test_near_groups_go_through_the_fingerprint_index(spark, monkeypatch, tmp_path):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(600)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 600, 15)] + [" ".join(rng.sample(base, 300)) for _ in range(20)] + [" ".join(base)] * 3
+    fps, seen, links, seen_pairs = [simhash.fingerprint(t.encode(), 5) for t in texts], [], simhash.links, []
+    root = plain_components(range(len(texts)), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2])
+
+    def recorded(nodes, *args):
+        seen.append({r.fp for r in nodes.collect()})
+        return links(nodes, *args)
+
+    def kept(nodes, *args, f=simhash.fingerprint_links):
+        out = f(nodes, *args)
+        seen_pairs.append({(r.u, r.v) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(simhash, "links", recorded)
+    monkeypatch.setattr(simhash, "fingerprint_links", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    assert got == plain_near_groups(dict(enumerate(texts)))
+    assert seen == [set(fps)]
+    first = {t: texts.index(t) for t in texts}
+    assert seen_pairs == [{(i, j) for i, j in root.items() if i != j and i in first.values()}] and len(seen_pairs[0]) > 3
+
+
 def test_near_sets_share_a_prefix():
     rng = np.random.default_rng(2)
     for n in (1, 4, 5, 9, 37, 300):
