@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.sources.scratch import dropped
 from spanloom.sources.scratch import kept as table
 
 _MASK64 = (1 << 64) - 1

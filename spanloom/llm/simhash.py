@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Rolling, arrow_schema, as_bytes, beside, hash_words, map_arrow, mix64, record_batch, release, spread_join, table, tune, word_hashes
+from spanloom.llm.common import Rolling, arrow_schema, as_bytes, beside, dropped, hash_words, map_arrow, mix64, record_batch, release, spread_join, table, tune, word_hashes
 from spanloom.llm.components import components
 
 _FLIPS = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))], np.int64)
@@ -328,6 +328,7 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int
     side = lambda c: own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     both = spread_join(spread_join(near, side("u"), ["u"]), side("v"), ["v"]).select("u", "v", "tu", "tv")
     close = table(map_arrow(both, exact, ddl).distinct(), "close")
+    dropped(own, near)
     release(nodes.sparkSession)
     return close
 
@@ -411,6 +412,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     one = lambda c: F.min(c).alias(c)
     nodes = table(wide.groupBy("content").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), one("fp"), one("n"), one("sketch"), one("prefix")), "nodes")
     f = table(wide.select("doc_id", "content"), "contents")
+    dropped(wide)
     release(docs.sparkSession)
     alike = fingerprint_links(nodes, texts, width, similarity)
     joined = table(components(alike), "simhash-roots")
@@ -427,14 +429,16 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     heads = posts.groupBy("key").agg(F.min("node").alias("a"), F.max(F.struct("copies", (-F.col("node")).alias("m"))).alias("c"), F.max("node").alias("z"), F.count("*").alias("m")).where("a < z")
     heads = table(heads.select("key", "a", (-F.col("c.m")).alias("c"), "m"), "heads")
     release(docs.sparkSession)
-    members = table(spread_join(posts.select("key", "node", "n", "at"), heads, ["key"]), "members")
+    members = table(posts.select("key", "node", "n", "at").join(heads, "key"), "members")  # heads are a file, so both sides are dealt out anew
     release(docs.sparkSession)
     pairs = members.select("node", F.explode(F.array("a", "c")).alias("to")).where("node <> to").select(F.greatest("node", "to").alias("u"), F.least("node", "to").alias("v")).distinct()
     pairs = table(apart(pairs, joined), "pairs")
     first = table(components(close_pairs(pairs, nodes, texts, width, similarity).union(alike)), "first-roots")
+    dropped(joined, pairs)
     rest = spread_join(members.where("m > 2").select("key", "node", "n", "at", "m"), first, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     pairs = table(member_pairs(spread_join(rest, table(mixed, "mixed"), ["key"]), similarity), "member-pairs")
+    dropped(members, heads)
     release(docs.sparkSession)
     close = close_pairs(pairs, nodes, texts, width, similarity)
     roots = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))

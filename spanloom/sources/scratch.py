@@ -24,14 +24,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df``, written and read again: its plan runs once, a lost executor costs only its running tasks."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``kept`` gave; nothing may read them any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._kept_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session has already ended
             return

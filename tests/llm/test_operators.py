@@ -202,6 +202,15 @@ def test_near_groups_go_through_the_fingerprint_index(spark, monkeypatch, tmp_pa
     assert seen_pairs == [{(i, j) for i, j in root.items() if i != j and i in first.values()}] and len(seen_pairs[0]) > 3
 
 
+def test_near_groups_remove_their_wide_tables(spark, docs):
+    from spanloom.sources import scratch
+
+    before = len(scratch._made)
+    simhash.near_groups(docs).collect()
+    left = [p.rsplit("/", 1)[1].split("-")[0] for _, p in scratch._made[before:] if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    assert "nodes" in left and not {"features", "members", "heads", "near"} & set(left)
+
+
 def test_near_sets_share_a_prefix():
     rng = np.random.default_rng(2)
     for n in (1, 4, 5, 9, 37, 300):
