@@ -12,6 +12,7 @@ import re
 from array import array
 from collections.abc import Callable
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 
@@ -40,67 +41,89 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids by piece. A piece that is missing is met by ``meet``, which gives None for those that have to be learnt."""
+
+    def __init__(self, meet: Callable[[str], bytes | bool | None]):
+        super().__init__()
+        self.meet = meet
+
+    def __missing__(self, piece: str) -> bytes | bool | None:
+        ids = self.meet(piece)
+        if ids is not None:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """``encode(texts)``: ids as little-endian unsigned 32-bit integers. ``encode_many(list of str)`` gives lists of ids.
 
     A key of the cache is a piece that follows a space, or a space and a piece that follows none. False: it holds white
     space that may join with its neighbours'. When the cache is full, what was not used since the last time goes.
     ``encode_word(word, spaced)``, if given, encodes a run of Latin letters, with a space before it or none: always a single pre-token.
+    With it, most pieces are encoded where they are first looked up; the others, and all without it, are learnt together.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cached: int = 400_000, encode_word: Callable[[str, bool], bytes] | None = None):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cached: int = 200_000, encode_word: Callable[[str, bool], bytes] | None = None):
         self.encode_many, self.cached, self.encode_word = encode_many, cached, encode_word
         self.newline = self._bytes(["\n"])[0]
-        self.young: dict[str, bytes | bool] = {}
-        self.old: dict[str, bytes | bool] = {}
+        self.young, self.old = _Pieces(self._meet), {}
+        self.unknown: set[str] = set()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) > self.cached:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, _Pieces(self._meet)
         split = []
         for t in texts:
             words = t.split(" ") if t else []
             if words:
                 words[0] = " " + words[0]
             split.append(words)
-        new = set(chain.from_iterable(split)).difference(self.young)
-        if new:
-            self._learn(new)
+        if not self.encode_word:
+            self._learn(set(chain.from_iterable(split)).difference(self.young))
+        out = self._joined(split)
+        if self.unknown:
+            late = [k for k, ids in enumerate(out) if ids is None]
+            self._learn(self.unknown)
+            self.unknown = set()
+            for k, ids in zip(late, self._joined([split[k] for k in late]), strict=True):
+                out[k] = ids
+        whole = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(whole, self._bytes([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+    def _joined(self, split: list[list[str]]) -> list[bytes | None]:
+        """The ids of each text; None where a piece is False or unknown."""
         get = self.young.__getitem__
         out: list[bytes | None] = []
         for words in split:
             try:
                 out.append(b"".join(map(get, words)))
-            except TypeError:  # a False
+            except TypeError:
                 out.append(None)
-        whole = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(whole, self._bytes([texts[k] for k in whole]), strict=True):
-            out[k] = ids
         return out
 
+    def _meet(self, piece: str) -> bytes | bool | None:
+        """A new piece: from the old cache, or spelt; else it is noted as unknown."""
+        ids = self.old.get(piece) if self.old else None  # not by [], which would meet it again
+        if ids is None and (word := self.encode_word):
+            spaced = piece[:1] != " "
+            core = piece if spaced else piece[1:]
+            ids = word(core, spaced) if core.isalpha() and core.isascii() else self._spell(core, spaced)
+        if ids is None:
+            self.unknown.add(piece)
+        return ids
+
     def _learn(self, new: set[str]) -> None:
         """Adds the keys in ``new``: from the old cache, or encoded, or joined from the parts they are cut into."""
         young, old = self.young, self.old
-        if old:
-            known = new & old.keys()
-            young.update(zip(known, map(old.__getitem__, known), strict=True))
-            new = new - known
-        word, atoms, cuts = self.encode_word, [], []
-
-        def atom(p: str, core: str) -> None:
-            if word and (core.isascii() or max(core) < _BEYOND_LATIN):
-                young[p] = word(core, core is p)
-            else:
+        known = new & old.keys()
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
+        atoms, cuts = [], []
+        for p in new - known:
+            if (p[1:] if p[:1] == " " else p).isalpha():
                 atoms.append(p)
-
-        for p in new:
-            core = p[1:] if p[:1] == " " else p
-            if core.isalpha():
-                atom(p, core)
-                continue
-            bare = p.rstrip(_TAIL)
-            if bare != p and bare.isalpha():
-                cuts.append((p, (bare, " " + p[len(bare) :])))
             elif (cut := self._cut(p)) is None:
                 young[p] = False
             elif len(cut) == 1:
@@ -111,16 +134,28 @@ class PieceEncoder:
         parts = set(chain.from_iterable(cut for _, cut in cuts)).difference(young).difference(atoms)
         known = parts & old.keys()
         young.update(zip(known, map(old.__getitem__, known), strict=True))
-        for p in parts - known:
-            core = p[1:] if p[:1] == " " else p
-            if core.isalpha():
-                atom(p, core)
-            else:
-                atoms.append(p)
+        atoms += parts - known
         young.update(zip(atoms, self._bytes([p[1:] if p[0] == " " else " " + p for p in atoms]), strict=True))
         for p, cut in cuts:
             young[p] = b"".join(map(young.__getitem__, cut))
 
+    def _spell(self, core: str, spaced: bool) -> bytes | None:
+        """The ids of lines that are each a Latin word and ASCII punctuation after it or none, without keeping their parts; None for all else."""
+        young, ids = self.young, b""
+        for line in core.split("\n"):
+            bare = line.rstrip(_TAIL)
+            if not bare.isalpha() or not (bare.isascii() or max(bare) < _BEYOND_LATIN):
+                return None
+            ids += (spaced and young.get(bare)) or self.encode_word(bare, spaced)
+            if bare != line:
+                tail = " " + line[len(bare) :]
+                if tail not in young:
+                    young[tail] = self._bytes([tail[1:]])[0]
+                ids += young[tail]
+            ids += self.newline
+            spaced = False
+        return ids[: -len(self.newline)]
+
     @staticmethod
     def _cut(piece: str) -> list[str] | None:
         """Keys of parts that are encoded on their own; None if white space may join with the neighbours'."""
@@ -151,11 +186,11 @@ def _library(path: str) -> PieceEncoder:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    tokenize = t.model.tokenize
+    tokenize, space, number = t.model.tokenize, _LETTERS[32], attrgetter("id")
 
     def encode_word(word: str, spaced: bool) -> bytes:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [x.id for x in tokenize(_LETTERS[32] + letters if spaced else letters)]).tobytes()
+        return array("I", list(map(number, tokenize(space + letters if spaced else letters)))).tobytes()
 
     return PieceEncoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], encode_word=encode_word)
 

@@ -68,6 +68,23 @@ def test_cache_turns_over(library):
         assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts[i : i + 5])] == [x.tolist() for x in library_ids(library, texts[i : i + 5])]
 
 
+def test_pieces_met_one_by_one(library):
+    e = encoder(PATH)
+    words = ["Ärger,", "naïve", "x.\nUnd", "don't.", "a--", "42,", "über...\nso", "日本,", "tab\tin", "a\n\nb", "<|endoftext|>", "e<|endoftext|>.", "'s"]
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "q", "é!"]) for _ in range(30)) for _ in range(60)] + ["", None, " "]
+    for small in (type(e)(e.encode_many, 20, e.encode_word), type(e)(e.encode_many, 20)):
+        for i in range(0, len(texts), 7):
+            assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts[i : i + 7])] == [x.tolist() for x in library_ids(library, texts[i : i + 7])]
+
+
+def test_parts_of_a_piece_are_not_kept():
+    e = encoder(PATH)
+    new = type(e)(e.encode_many, encode_word=e.encode_word)
+    new.encode(["and alpha, beta.\nGamma"])
+    assert {*new.young} == {" and", "alpha,", "beta.\nGamma", " ,", " ."}
+
+
 def test_speculation_and_merging_agree():
     b, rng = bpe.bpe(PATH), random.Random(3)
     words = ["".join(rng.choices("thenadionsr ", k=rng.randint(1, 25))).encode() for _ in range(4000)] + [b"a" * 3000]
